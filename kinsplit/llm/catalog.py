@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_paths() -> tuple[str, str]:
+    """The public vocabulary file and the same vocabulary as ranks, wherever they are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinsplit.llm.exact_dedup import exact_groups
 
@@ -23,8 +30,35 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsplit.llm.near_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsplit.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_paths())
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsplit.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinsplit.llm.toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, _table(spark, sf_dir, "labels"))
+    out = score(docs.select("doc_id", "text"), model).withColumn("score", F.col("toxicity_score"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op4_best_fit_packing": op4_best_fit_packing, "op8_source_mixing": op8_source_mixing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
