@@ -40,11 +40,12 @@ def source_targets(sources: DataFrame, weights: tuple = (3, 1, 2), share: float
     s = s.withColumn("_cap", F.lit(float(max_copies)) * F.col("source_size"))
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = s.withColumn("_total", F.lit(float(share)) * F.sum("source_size").over(every)).withColumn("_all", F.sum("_w").over(every))
-    before = W.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(W.unboundedPreceding, -1)
+    by_ratio = W.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), F.encode("source", "UTF-8"))
+    before, upto, whole = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(W.unboundedPreceding, W.currentRow), by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = s.withColumn("_caps", F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_ws", F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     s = s.withColumn("_level", (F.col("_total") - F.col("_caps")) / (F.col("_all") - F.col("_ws")))
-    s = s.withColumn("_full", F.col("_level") * F.col("_w") >= F.col("_cap"))
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(every)
+    s = s.withColumn("_full", F.min(F.col("_level") * F.col("_w") >= F.col("_cap")).over(upto))
+    level = F.first(F.when(~F.col("_full"), F.col("_level")), ignorenulls=True).over(whole)
     return s.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * level)).select(*sources.columns, "target")
 
 
