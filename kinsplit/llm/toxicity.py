@@ -1,6 +1,6 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic regression over capped word counts. Identity terms of the labelled texts are swapped for other terms of the
+A logistic regression over capped counts of words and of word beginnings. Identity terms of the labelled texts are swapped for other terms of the
 same kind; the squared change of the score is penalised next to the log loss, so that naming a group by itself does
 not move the score. Both terms are smooth and convex, and Newton steps on the few hundred chosen words solve them.
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,24 +32,46 @@ SENTENCES = [("the X family moved to the town", 0), ("many X people came to the
 
 _SWAP = {t: terms[(i + 1) % len(terms)] for terms in IDENTITY_TERMS.values() for i, t in enumerate(terms)}
 _WORD = re.compile(r"[^\W\d_]+")
-CAP = 3  # counts of one word beyond this add nothing
+CAP = 3  # counts of one feature beyond this add nothing
+PREFIXES = (4, 5, 6, 7)
+REMEMBERED = 200_000
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """A word itself, and its beginnings, marked by a final hyphen: inflected and compound forms share them."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+
+
+class _Hits(dict):
+    """word -> those of its features that a vocabulary has; remembers a bounded number of words."""
+
+    def __init__(self, vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple:
+        hit = tuple(f for f in features(word) if f in self.vocabulary)
+        if len(self) < REMEMBERED:
+            self[word] = hit
+        return hit
+
+
 class ToxicityModel:
-    """Weights by word, and an intercept."""
+    """Weights by feature, and an intercept."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
-    def scores(self, texts) -> np.ndarray:
+    def scores(self, texts, hits: _Hits | None = None) -> np.ndarray:
         w, out = self.weights, []
+        hits = _Hits(w) if hits is None else hits
         for t in texts:
-            hits = Counter(filter(w.__contains__, words(t)))
-            out.append(self.bias + sum(w[k] * min(n, CAP) for k, n in hits.items()))
+            found = Counter(f for h in filter(None, map(hits.__getitem__, words(t))) for f in h)
+            out.append(self.bias + sum(w[k] * min(n, CAP) for k, n in found.items()))
         return 1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35)))
 
 
@@ -91,7 +114,7 @@ def held_out(id_column):
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, max_words: int = 400, fairness: float = 1.0, ridge: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8000, max_words: int = 400, fairness: float = 1.0, ridge: float = 2e-4) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled rows outside the held-out fold; labels other than 0 and 1 are skipped.
 
     With no labelled rows the model scores every text alike, below 0.5.
@@ -102,20 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen: Counter = Counter()
         for pdf in batches:
             for t, y in zip(pdf["text"], pdf["y"]):
-                seen.update((w, int(y)) for w in set(words(t)))
+                seen.update((f, int(y)) for f in {f for w in set(words(t)) for f in features(w)})
         yield pd.DataFrame([(w, y, n) for (w, y), n in seen.items()], columns=["w", "y", "n"])
 
     totals = {int(r["y"]): r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     by = sample.mapInPandas(count, "w string, y int, n long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     expect = (F.col("a") + F.col("b")) * (n1 / max(1, n1 + n0))
-    top = by.where("a + b >= 4").withColumn("chi", (F.col("a") - expect) * (F.col("a") - expect) / (expect + 1)).orderBy(F.desc("chi"), "w").limit(max_words)
+    top = by.where("a + b >= 8").withColumn("chi", (F.col("a") - expect) * (F.col("a") - expect) / (expect + 1)).orderBy(F.desc("chi"), "w").limit(max_words)
     vocabulary = sorted({r["w"] for r in top.select("w").collect()} | set(_SWAP))
     at = {w: i for i, w in enumerate(vocabulary)}
 
     def vector(ws) -> np.ndarray:
         v = np.zeros(len(at), np.float32)
-        for w, n in Counter(filter(at.__contains__, ws)).items():
+        for w, n in Counter(f for k in ws for f in features(k) if f in at).items():
             v[at[w]] = min(n, CAP)
         return v
 
@@ -140,7 +163,9 @@ def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFr
     """``df`` with ``toxicity_score`` (0 to 1) of every row's whole text; null counts as empty, which is scored too."""
 
     @F.pandas_udf("double")
-    def f(t: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(t))
+    def f(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hits = _Hits(model.weights)
+        for t in parts:
+            yield pd.Series(model.scores(t, hits))
 
     return df.withColumn("toxicity_score", f(F.col(f"`{text_col}`")))
