@@ -73,7 +73,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
-    marked = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, (1 << 31) - 1)
+    marked = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda _, i: i > 0)
     turns = F.transform(marked, lambda t: F.concat(unescape_role(F.substring_index(t, "\n", 1)), F.lit("\n"), unescape(F.substring_index(F.substring(t, F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t)), END, 1)), F.lit("\n")))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     out = formatted.select("conv_id", F.size(marked).cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
