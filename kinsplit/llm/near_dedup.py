@@ -12,14 +12,17 @@ probability J_P.
 
 Texts equal after lower-casing meet first and go on as one node. In each bucket of a band the smallest node is the
 pivot all others are compared with; pivots then leave their bucket, buckets whose members are already of one class
-are done, and the next round takes the next pivot. So a large class takes linear work, no group is expanded into
-pairs, and no pair of different classes is left out. What is left after ``pivot_rounds`` is joined within buckets,
-between different classes only.
+are done, and the next round takes the next pivot. So a large class takes linear work and no group is expanded into
+pairs. Buckets that stay open after ``pivot_rounds`` mostly hold documents that share a frequent passage and little
+else. Their documents meet anew, exactly, on their rarest shingles: J_P of at least t means that the common shingles
+have at least the share t of either document's weight, so two such documents share one of the rarest shingles that
+make up more than 1 - t of each (a prefix filter). Classes that meet there are compared member by member, in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +33,11 @@ BANDS, ROWS = 28, 5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C55
 SLAB = 4 << 20  # bytes of text hashed at a time
+PAIRS_PER_TASK = 5_000
+SLOTS = 1 << 20  # counters that order shingles by frequency: 4 MB, whatever the input; any order gives whole results
+SEGMENT = 1 << 14
+BLOCK, PROBES = 250, 4_000  # documents held together, and documents compared with them, a task
+FEW = 16  # documents of a bucket that are compared as pairs
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -215,6 +223,59 @@ def probability_jaccard(a, aw, b, bw) -> float:
     return float((1 / ((above_a[at] + only_a) / xs + (below_b[at] + only_b) / ys)).sum())
 
 
+def _tally(batches):
+    """Counts of shingles by slot, over the rows of a task."""
+    counts = np.zeros(SLOTS, np.int32)
+    for batch in batches:
+        for x in batch.column("hs"):
+            counts[np.frombuffer(x.as_buffer(), "<u4") & np.uint32(SLOTS - 1)] += 1
+    parts = counts.reshape(-1, SEGMENT)
+    used = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["seg", "n"])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SEGMENT, np.int32)
+    for raw in pdf["n"]:
+        total += np.frombuffer(raw, np.int32)
+    return pd.DataFrame({"seg": [pdf["seg"].iloc[0]], "n": [total.tobytes()]})
+
+
+def _prefix(shared, threshold: float):
+    """The rarest shingles of each document whose weight is just over 1 - threshold of all; those of one document alone are left out."""
+
+    def run(batches):
+        counts = np.frombuffer(shared.value, np.int32)
+        for batch in batches:
+            ids, tokens = [], []
+            for i, x, w in zip(batch.column("id"), batch.column("hs"), batch.column("ws")):
+                h = np.frombuffer(x.as_buffer(), "<u4")
+                if not len(h):
+                    continue
+                w = np.frombuffer(w.as_buffer(), "<u4").astype(float) if len(w.as_buffer()) else np.ones(len(h))
+                n = counts[h & np.uint32(SLOTS - 1)]
+                order = np.lexsort((h, n))
+                upto = np.cumsum(w[order]) - w[order] <= (1 - threshold) * w.sum() + 1e-9
+                take = order[upto & (n[order] > 1)]
+                ids.append(np.full(len(take), i.as_py(), np.int64))
+                tokens.append(h[take].astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], ["bucket", "id"])
+
+    return run
+
+
+def _rare_buckets(feats: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id): documents by their rarest shingles, those that at least two share."""
+    counts = np.zeros((SLOTS // SEGMENT, SEGMENT), np.int32)
+    for r in feats.select("hs").mapInArrow(_tally, "seg int, n binary").groupBy("seg").applyInPandas(_summed, "seg int, n binary").toLocalIterator():
+        counts[r["seg"]] = np.frombuffer(bytes(r["n"]), np.int32)
+    shared = feats.sparkSession.sparkContext.broadcast(counts.tobytes())
+    tokens = materialize(feats.mapInArrow(_prefix(shared, threshold), "bucket long, id long"), "tokens")
+    many = tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return tokens.join(many, "bucket")
+
+
 def _verify(threshold: float):
     def run(batches):
         for batch in batches:
@@ -231,7 +292,106 @@ def _verify(threshold: float):
     return run
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = BANDS, band_rows: int = ROWS, pivot_rounds: int = 4) -> DataFrame:
+def _open_buckets(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, id, root) of the buckets whose members are of more than one class."""
+    if roots is None:
+        return members.withColumn("root", F.col("id"))
+    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    many = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    return placed.join(many, "bucket")
+
+
+def _rest_links(left: DataFrame, size: int, roots: DataFrame | None, feats: DataFrame, threshold: float) -> DataFrame:
+    """Links between the documents of buckets that stay open, found exactly.
+
+    Documents that share a rare shingle are compared, in one of three ways that each send a number of rows in
+    proportion to the documents: against a large class, block by block; within a large bucket, block against block;
+    and within a bucket of a few documents, as pairs. Tasks hold BLOCK documents of either side and count common
+    shingles through the block's index.
+    """
+    ids = _open_buckets(left, roots).select("id", "root").distinct()
+    rest = materialize(feats.join(ids, "id"), "rest", size)
+    sizes = rest.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    classes = rest.select("id", "root").join(sizes, "root").select("id", "root", "n")
+    tokens = materialize(_rare_buckets(rest.select("id", "hs", "ws"), threshold).join(classes, "id"), "tokens")
+
+    # large classes and all that meet them
+    by_class = tokens.select("bucket", "root", "n").distinct()
+    large = by_class.where(F.col("n") > BLOCK).select("bucket", F.col("root").alias("big"), F.col("n").alias("n_big"))
+    met = large.join(by_class.select("bucket", F.col("root").alias("small"), "n"), "bucket")
+    met = met.where((F.col("big") != F.col("small")) & ((F.col("n_big") > F.col("n")) | ((F.col("n_big") == F.col("n")) & (F.col("big") < F.col("small")))))
+    met = materialize(met.select("big", "small", "n_big", "n").distinct(), "met", size)
+    plan = met.groupBy("big").agg(F.ceil(F.first("n_big") / BLOCK).alias("blocks"), F.ceil(F.sum("n") / PROBES).alias("slices"))
+    probes = rest.join(met.select("big", "small"), F.col("root") == F.col("small")).select("big", "id", "root", "hs", "ws").join(plan, "big")
+    probes = probes.select("big", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "root", "hs", "ws")
+    held = rest.join(plan, F.col("root") == F.col("big")).select(F.col("big").alias("h_big"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("h_block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("h_slice"), F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws"))
+    links = probes.groupBy("big", "block", "slice").cogroup(held.groupBy("h_big", "h_block", "h_slice")).applyInPandas(_compare(threshold), "src long, dst long")
+
+    # buckets of small classes
+    small = tokens.where(F.col("n") <= BLOCK).select("bucket", "id", "root")
+    counts = small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket", "k")
+    small = materialize(small.join(counts, "bucket"), "small")
+    few = small.where(F.col("k") <= FEW)
+    pairs = few.join(few.select("bucket", F.col("id").alias("dst"), F.col("root").alias("d_root")), "bucket").where("id < dst and root != d_root").select(F.col("id").alias("src"), "dst").distinct()
+    pairs = materialize(pairs, "pairs", size * FEW)
+    sides = [rest.select(F.col("id").alias(c), F.col("hs").alias("h" + x), F.col("ws").alias("w" + x)) for c, x in (("src", "a"), ("dst", "b"))]
+    links = links.unionByName(pairs.join(sides[0], "src").join(sides[1], "dst").mapInArrow(_verify(threshold), "src long, dst long"))
+
+    many = small.where(F.col("k") > FEW).withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    first = many.select("bucket", F.col("own").alias("bi"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("bj"), "id")
+    second = many.select(F.col("bucket").alias("h_bucket"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("h_bi"), F.col("own").alias("h_bj"), F.col("id").alias("h_id"))
+    first = first.join(rest, "id")
+    second = second.join(rest.select(F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws")), "h_id")
+    links = links.unionByName(first.groupBy("bucket", "bi", "bj").cogroup(second.groupBy("h_bucket", "h_bi", "h_bj")).applyInPandas(_compare(threshold), "src long, dst long"))
+    return materialize(links, "links")
+
+
+def _compare(threshold: float):
+    def run(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        sets = [np.frombuffer(x, "<u4") for x in held["h_hs"]]
+        weights = [np.frombuffer(x, "<u4") if len(x) else None for x in held["h_ws"]]
+        if sets and len(probes):
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, classes = held["h_id"].to_numpy(), held["h_root"].to_numpy()
+            for i, root, x, w in zip(probes["id"], probes["root"], probes["hs"], probes["ws"]):
+                h = np.frombuffer(x, "<u4")
+                w = np.frombuffer(w, "<u4") if len(w) else None
+                lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                mass = np.ones(len(h)) if w is None else w.astype(float)
+                common = np.bincount(owner[at], weights=np.repeat(mass, n), minlength=len(sets))
+                done = set()
+                # J_P is at most the common share of the document's weight
+                for k in np.flatnonzero((common >= threshold * mass.sum() - 1e-6) & (classes != root)).tolist():
+                    if classes[k] not in done and probability_jaccard(h, w, sets[k], weights[k]) >= threshold:
+                        found.append((int(i), int(ids[k])))
+                        done.add(classes[k])  # further links to the same class say no more
+        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    return run
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(id, root) after new links: their ends' roots are joined, and known vertices follow their roots."""
+    n = links.count()
+    if not n:
+        return roots
+    if roots is None:
+        return materialize(star_forest(links, rows=n).select(F.col("node").alias("id"), "root"), "roots", 2 * n)
+    ends = links.join(roots.select(F.col("id").alias("src"), F.col("root").alias("rs")), "src", "left").join(roots.select(F.col("id").alias("dst"), F.col("root").alias("rd")), "dst", "left")
+    ends = materialize(ends.select(F.coalesce("rs", "src").alias("src"), F.coalesce("rd", "dst").alias("dst")), "links", n)
+    moved = materialize(star_forest(ends, rows=n).select("node", F.col("root").alias("to")), "moved", 2 * n)
+    old = roots.join(moved, F.col("root") == F.col("node"), "left").select("id", F.coalesce("to", "root").alias("root"))
+    new = moved.join(roots.select("id"), F.col("node") == F.col("id"), "left_anti").select(F.col("node").alias("id"), F.col("to").alias("root"))
+    return materialize(old.unionByName(new), "roots", roots.count() + 2 * n)
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = BANDS, band_rows: int = ROWS, pivot_rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), class_size, kept (the row is that id's).
 
     Null counts as empty text; texts without words are equal to one another only. Rows with a null id are kept, in no
@@ -243,44 +403,39 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     scanned = docs.where("id is not null").select("id", F.md5("text").alias("key"), "text")
     rows = materialize(scanned.mapInArrow(_signatures(bands, band_rows, shingle), "id long, key string, has boolean, keys array<long>"), "signatures")
-    nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    total = rows.count()
+    nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes", total)
 
     heads = rows.where("has").join(nodes.select(F.col("key").alias("_key"), "node"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("node"))).dropDuplicates(["key"])
-    members = heads.select("id", F.explode("keys").alias("bucket"))
+    members = materialize(heads.select("id", F.explode("keys").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = materialize(members.join(shared.select("bucket"), "bucket").distinct(), "buckets")
+    left = materialize(members.join(shared.select("bucket"), "bucket").distinct(), "buckets", total * bands // 4)
+    release(members)
 
     wanted = left.select(F.col("id").alias("_id")).distinct()
     feats = docs.join(wanted, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
     feats = materialize(feats.select("id", "text").mapInArrow(_features(shingle), "id long, hs binary, ws binary"), "features")
 
-    edges, roots = None, None
-    k = 0
-    while not left.isEmpty():
-        placed = left.withColumn("root", F.col("id")) if roots is None else left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        if k:
-            open_ = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-            placed = placed.join(open_, "bucket")
-        placed = materialize(placed, "placed")
-        if k < pivot_rounds:
-            pivot = placed.groupBy("bucket").agg(F.min(F.struct("id", "root")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.root").alias("p_root"))
-            on = placed.join(pivot, "bucket")
-            pairs = on.where("id != pivot and root != p_root").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct()
-            rest = on.where("id != pivot").select("bucket", "id")
-        else:
-            other = placed.select("bucket", F.col("id").alias("dst"), F.col("root").alias("d_root"))
-            pairs = placed.withColumnRenamed("id", "src").join(other, "bucket").where("src < dst and root != d_root").select("src", "dst").distinct()
-            rest = left.limit(0)
-        a = feats.select(F.col("id").alias("src"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
-        b = feats.select(F.col("id").alias("dst"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
-        fresh = materialize(pairs.join(b, "dst").join(a, "src").mapInArrow(_verify(threshold), "src long, dst long"), "links")
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        if not fresh.isEmpty():
-            known = edges if roots is None else fresh.join(roots.select(F.col("id").alias("src"), F.col("root").alias("rs")), "src", "left").join(roots.select(F.col("id").alias("dst"), F.col("root").alias("rd")), "dst", "left").select(F.coalesce("rs", "src").alias("src"), F.coalesce("rd", "dst").alias("dst")).unionByName(roots.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-            roots = materialize(star_forest(known).select(F.col("node").alias("id"), "root"), "roots")
-        left = materialize(rest, "buckets")
-        release(placed)
-        k += 1
+    roots = None
+    size = left.count()
+    for k in range(pivot_rounds):
+        if not size:
+            break
+        placed = materialize(_open_buckets(left, roots), "placed", size)
+        pivot = placed.groupBy("bucket").agg(F.min(F.struct("id", "root")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.root").alias("p_root"))
+        on = placed.join(pivot, "bucket")
+        pairs = materialize(on.where("id != pivot and root != p_root").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct(), "pairs", size)
+        n_pairs = pairs.count()
+        if n_pairs:
+            a = feats.select(F.col("id").alias("src"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
+            b = feats.select(F.col("id").alias("dst"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
+            both = pairs.join(b, "dst").join(a, "src").coalesce(max(12, -(-n_pairs // PAIRS_PER_TASK)))
+            roots = _joined(roots, materialize(both.mapInArrow(_verify(threshold), "src long, dst long"), "links"))
+        left = materialize(on.where("id != pivot").select("bucket", "id"), "buckets", size)
+        release(placed, pairs)
+        size = left.count()
+    if size:
+        roots = _joined(roots, _rest_links(left, size, roots, feats, threshold))
 
     label = nodes.select("key", "node", "n")
     if roots is not None:
