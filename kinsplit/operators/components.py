@@ -7,24 +7,25 @@ from pyspark.sql import DataFrame, functions as F
 from kinsplit.plans.storage import materialize, release
 
 
-def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of at least one edge; root is the smallest node of its component.
 
     Each round is two aggregations and two joins over the edge set, which shrinks towards one edge a node. Partial
-    aggregation keeps hubs from shuffling whole; adaptive skew splitting deals out the joins on them.
+    aggregation keeps hubs from shuffling whole; adaptive skew splitting deals out the joins on them. ``rows``: a
+    bound of the number of edges, where one is known.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     e = e.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialize(e, "cc")
+    e = materialize(e, "cc", rows)
     seen = _signature(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = materialize(large, "cc")
+        large = materialize(large, "cc", seen[0])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        nxt = materialize(small.where("u != v").distinct(), "cc")
+        nxt = materialize(small.where("u != v").distinct(), "cc", 2 * seen[0])
         release(large, e)
         now, e = _signature(nxt), nxt
         if now == seen:

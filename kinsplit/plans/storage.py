@@ -28,9 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back; its lineage ends there."""
+ROWS_PER_FILE = 250_000
+
+
+def materialize(df: DataFrame, name: str = "table", at_most: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return it as read back; its lineage ends there.
+
+    ``at_most``: a bound of its rows, where one is known; then it is written in files of ROWS_PER_FILE rows or more,
+    eight at least, rather than in one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if at_most is not None:
+        df = df.coalesce(max(8, -(-at_most // ROWS_PER_FILE)))
     path = f"{shared_dir(spark)}/kinsplit/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
