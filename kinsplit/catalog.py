@@ -1,11 +1,304 @@
-"""Registered queries of the core library and their SQL equivalents."""
+"""Registered queries of the core library, each over its whole tables, and their SQL equivalents."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from kinsplit.config import HNSWConfig, INWeightType, KernelVariant
+from kinsplit.functions import fingerprints as fp
+from kinsplit.operators import clusters, communities, proximity
+from kinsplit.operators.ann import HNSWState
+from kinsplit.operators.edges import EdgeStore
+from kinsplit.plans.storage import materialize, shared_dir
+
+NEAR, KNN = 0.8, 5
+ALIKE = 0.5  # of token sets
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("item"))
+
+
+def _token_sets(spark, d) -> DataFrame:
+    words = F.array_distinct(F.split(F.coalesce("text", F.lit("")), " "))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("item"))
+
+
+def _names(spark, d) -> DataFrame:
+    names = _table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    return names.select("id", F.upper("p_name").alias("item"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _store(spark, d) -> EdgeStore:
+    return proximity.exact_edges(KernelVariant.TanimotoReal, _vectors(spark, d), NEAR)
+
+
+def _saved(store: EdgeStore) -> EdgeStore:
+    return EdgeStore(store.vertices, materialize(store.edges, "edges"))
+
+
+# ---- distances, edges, neighbours
+
+
+def tanimoto_real_zip(spark, d):
+    v = _vectors(spark, d)
+    after = v.select((F.col("id") - 1).alias("id"), "item")
+    return _rounded(proximity.zip_kernel(KernelVariant.TanimotoReal, v.join(after.select("id"), "id", "left_semi"), after.join(v.select("id"), "id", "left_semi")), "distance")
+
+
+def tanimoto_real_edges(spark, d):
+    return _rounded(_store(spark, d).edges, "weight")
+
+
+def tanimoto_real_knn(spark, d):
+    v = _vectors(spark, d)
+    return _rounded(proximity.exact_nearest_neighbors(KernelVariant.TanimotoReal, v, v, KNN), "distance")
+
+
+def tanimoto_bit_zip(spark, d):
+    v = _token_sets(spark, d)
+    after = v.select((F.col("id") - 1).alias("id"), "item")
+    return _rounded(proximity.zip_kernel(KernelVariant.TanimotoBit, v.join(after.select("id"), "id", "left_semi"), after.join(v.select("id"), "id", "left_semi")), "distance")
+
+
+def tanimoto_bit_edges(spark, d):
+    return _rounded(proximity.exact_edges(KernelVariant.TanimotoBit, _token_sets(spark, d), ALIKE).edges, "weight")
+
+
+def tanimoto_bit_knn(spark, d):
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.xxhash64(w)).alias("item"))
+    return _rounded(proximity.exact_nearest_neighbors(KernelVariant.TanimotoBit, items, _token_sets(spark, d), KNN), "distance")
+
+
+def bit_fingerprint(spark, d):
+    """Packed words of word lengths modulo 256, and their popcount."""
+    lengths = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.length(w) % 256))
+    return _table(spark, d, "documents").select("doc_id", fp.popcount(fp.packed(lengths, 256)).cast("long").alias("n_on"))
+
+
+def global_align_edges(spark, d):
+    return _rounded(proximity.exact_edges(KernelVariant.AlignmentGlobal, _names(spark, d), 0.6).edges, "weight")
+
+
+def global_align_knn(spark, d):
+    v = _names(spark, d)
+    return _rounded(proximity.exact_nearest_neighbors(KernelVariant.AlignmentGlobal, v, v, 3), "distance")
+
+
+def global_align_zip(spark, d):
+    p = _table(spark, d, "part")
+    a = p.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("item"))
+    b = p.select(F.col("p_partkey").alias("id"), F.upper("p_type").alias("item"))
+    return _rounded(proximity.zip_kernel(KernelVariant.AlignmentGlobal, a, b), "distance")
+
+
+def local_align_edges(spark, d):
+    return _rounded(proximity.exact_edges(KernelVariant.AlignmentLocal, _names(spark, d), 0.6, min_coverage=0.5).edges, "weight")
+
+
+# ---- graphs
+
+
+def graph_summary(spark, d):
+    g = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement)
+    return spark.createDataFrame([(g.n, len(g.store), round(g.m, 4), round(g.total_weight, 4))], "n long, edges long, m double, total_weight double")
+
+
+def weight_mapping(spark, d):
+    e = _store(spark, d).edges
+    from kinsplit.operators.graph import similarity
+
+    return e.select("src", "dst", *[F.round(similarity(F.col("weight"), k), 6).alias(k.value) for k in INWeightType])
+
+
+def neighbors(spark, d):
+    return _rounded(_saved(_store(spark, d)).graph(INWeightType.Distance).sym, "w")
+
+
+def strength(spark, d):
+    return _rounded(_saved(_store(spark, d)).graph(INWeightType.Distance).strengths(), "strength")
+
+
+def supply_strength(spark, d):
+    """Parts and suppliers as one graph, an edge for each line of an order; suppliers have negative ids."""
+    li = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.col("l_quantity").alias("weight"))
+    nodes = _table(spark, d, "part").select(F.col("p_partkey").alias("id")).unionByName(_table(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("id")))
+    return _rounded(EdgeStore(nodes, li).graph(INWeightType.Similarity).strengths(), "strength")
+
+
+def subgraph(spark, d):
+    kept = _table(spark, d, "embeddings").where("label <= 2").select(F.col("vec_id").alias("old_id"), (F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("new_id"))
+    g, _ = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement).subgraph(kept)
+    return _rounded(g.store.edges, "weight")
+
+
+# ---- clusters
+
+
+def components(spark, d):
+    return clusters.find_components(_saved(_store(spark, d)).graph())
+
+
+def component_sizes(spark, d):
+    return components(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+def order_components(spark, d):
+    """Components of customers and their orders: one for each customer with orders."""
+    o = _table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey") - 1).alias("dst"), F.lit(1.0).alias("weight"))
+    nodes = o.select(F.col("src").alias("id")).unionByName(o.select(F.col("dst").alias("id"))).distinct()
+    c = clusters.find_components(EdgeStore(nodes, o).graph(INWeightType.Similarity))
+    return c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
+def largest_cluster(spark, d):
+    return spark.createDataFrame([clusters.largest_cluster(components(spark, d))], "cluster long, size long")
+
+
+def _split(spark, d, filtered):
+    g = _saved(_store(spark, d)).graph()
+    c = materialize(clusters.find_components(g), "clusters")
+    if filtered:  # labels cut through the graph, so there is something to filter
+        c = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster"))
+    train, test = clusters.partition(c, g, 0.3, 42, filtered)
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
+def partition(spark, d):
+    return _split(spark, d, False)
+
+
+def partition_filtered(spark, d):
+    return _split(spark, d, True)
+
+
+def communities_invariants(spark, d):
+    """Communities that span components (none), and whether modularity beats components and single vertices."""
+    g = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement)
+    comp, com = materialize(clusters.find_components(g), "components"), materialize(communities.find_communities(g, n_iterations=0), "communities")
+    crossing = com.join(comp.withColumnRenamed("cluster", "component"), "id").groupBy("cluster").agg(F.countDistinct("component").alias("n")).where("n > 1").count()
+    q = communities.modularity(g, com)
+    single = communities.modularity(g, g.vertices.withColumn("cluster", F.col("id")))
+    return spark.createDataFrame([(crossing, com.count() == g.n, q >= communities.modularity(g, comp) - 1e-9, q >= single)], "crossing long, whole boolean, beats_components boolean, beats_singletons boolean")
+
+
+# ---- approximate index
+
+
+def ann_quality(spark, d):
+    """Edges of the index that the exact ones lack or differ from (none), and whether it finds nine tenths of edges and neighbours."""
+    v = _vectors(spark, d)
+    state = HNSWState(KernelVariant.TanimotoReal, v, config=HNSWConfig(proximity_threshold=NEAR)).build()
+    exact, found = materialize(_store(spark, d).edges, "exact"), state.edges().edges
+    right = found.withColumnRenamed("weight", "w").join(exact, ["src", "dst"]).where("abs(w - weight) < 1e-9").count()
+    n, m = found.count(), exact.count()
+    near = state.search(v, KNN).select("query_id", "ref_id")
+    true = proximity.exact_nearest_neighbors(KernelVariant.TanimotoReal, v, v, KNN).select("query_id", "ref_id")
+    hits, all_ = near.join(true, ["query_id", "ref_id"]).count(), true.count()
+    return spark.createDataFrame([(n - right, right >= 0.9 * m, hits >= 0.9 * all_)], "wrong long, edge_recall boolean, neighbor_recall boolean")
+
+
+# ---- files
+
+
+def _file(spark: SparkSession, lines: list[str], name: str) -> str:
+    path = f"{shared_dir(spark)}/kinsplit/files-{uuid.uuid4().hex}/{name}"
+    spark.createDataFrame([("\n".join(lines),)], "t string").coalesce(1).write.text(path)
+    return path + "/part-*"
+
+
+def fasta_read(spark, d):
+    from kinsplit.sources.sequences import read_fasta
+
+    return read_fasta(spark, _file(spark, ["lost", ">seq1 first protein", "ACDE", " FGHI ", "", ">seq2", "PQRS", "TVWY", ">empty"], "fasta"))
+
+
+def smi_read(spark, d):
+    from kinsplit.sources.sequences import read_smi
+
+    return read_smi(spark, _file(spark, ["# molecules", "c1ccccc1 benzene", "", "CC(=O)O", "CCO ethyl alcohol"], "smi"))
+
+
+def csv_mol_read(spark, d):
+    from kinsplit.sources.sequences import read_csv_mol
+
+    return read_csv_mol(spark, _file(spark, ["Name,mass,SMILES", "benzene,78,c1ccccc1", "water,18,O"], "csv"))
+
+
+def edgelist_round_trip(spark, d):
+    path = f"{shared_dir(spark)}/kinsplit/files-{uuid.uuid4().hex}.edgelist"
+    _store(spark, d).save(path)
+    return _rounded(EdgeStore.load(path, spark).edges, "weight")
+
+
+def edge_table_round_trip(spark, d):
+    path = f"{shared_dir(spark)}/kinsplit/files-{uuid.uuid4().hex}.parquet"
+    _store(spark, d).save(path)
+    back = EdgeStore.load(path, spark)
+    return _rounded(back.edges, "weight")
+
 
 def queries() -> dict:
-    return {}
+    fs = [tanimoto_real_zip, tanimoto_real_edges, tanimoto_real_knn, tanimoto_bit_zip, tanimoto_bit_edges, tanimoto_bit_knn, bit_fingerprint, global_align_edges, global_align_knn, global_align_zip, local_align_edges, graph_summary, weight_mapping, neighbors, strength, supply_strength, subgraph, components, component_sizes, order_components, largest_cluster, partition, partition_filtered, communities_invariants, ann_quality, fasta_read, smi_read, csv_mol_read, edgelist_round_trip, edge_table_round_trip]
+    return {f.__name__: f for f in fs}
+
+
+# ---- SQL
+
+_V = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS q FROM embeddings)"
+_P = f"{_V}, p AS (SELECT a.id AS src, b.id AS dst, a.q + b.q AS qq, list_dot_product(a.x, b.x) AS xy FROM v a CROSS JOIN v b)"
+_D = "CASE WHEN qq - xy = 0 THEN 0 ELSE 1 - xy / (qq - xy) END"
+_E = f"{_P}, e AS (SELECT src, dst, {_D} AS weight FROM p WHERE src < dst AND {_D} < {NEAR})"
+_T = "t AS (SELECT doc_id AS id, unnest(list_distinct(string_split(coalesce(text, ''), ' '))) AS w FROM documents), n AS (SELECT id, count(*) AS n FROM t GROUP BY id)"
+_C = f"WITH RECURSIVE {_E}, s AS (SELECT src AS v, dst AS u FROM e UNION ALL SELECT dst, src FROM e), r(id, root) AS (SELECT id, id FROM v UNION SELECT s.u, r.root FROM r JOIN s ON s.v = r.id WHERE r.root < s.u), c0 AS (SELECT id, min(root) AS root FROM r GROUP BY id), c AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM c0)"
+
+
+def _split_sql(cluster: str, filtered: bool) -> str:
+    train = "SELECT id, 'train' AS side FROM k WHERE cluster NOT IN (SELECT cluster FROM chosen)"
+    if filtered:
+        train += " AND id NOT IN (SELECT s.v FROM s JOIN k ON k.id = s.u WHERE k.cluster IN (SELECT cluster FROM chosen))"
+    return f"{_C}, k AS ({cluster}), m AS (SELECT DISTINCT cluster FROM k), ranked AS (SELECT cluster, row_number() OVER (ORDER BY md5('42:' || cluster), cluster) AS r FROM m), chosen AS (SELECT cluster FROM ranked WHERE r <= (SELECT ceil(CAST(0.3 AS FLOAT) * CAST(count(*) AS FLOAT)) FROM m)) {train} UNION ALL SELECT id, 'test' FROM k WHERE cluster IN (SELECT cluster FROM chosen)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    edges = f"WITH {_E} SELECT src, dst, round(weight, 6) AS weight FROM e"
+    sizes = "SELECT cluster, count(*) AS size FROM c GROUP BY cluster"
+    jaccard = "1 - c / (a.n + b.n - c)"
+    return {
+        "tanimoto_real_zip": f"WITH {_P} SELECT src AS id, round({_D}, 6) AS distance FROM p WHERE dst = src + 1",
+        "tanimoto_real_edges": edges,
+        "tanimoto_real_knn": f"WITH {_P}, d AS (SELECT src, dst, {_D} AS distance FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM d) SELECT src AS query_id, CAST(rank AS INTEGER) AS rank, dst AS ref_id, round(distance, 6) AS distance FROM k WHERE rank <= {KNN}",
+        "tanimoto_bit_zip": f"WITH {_T}, i AS (SELECT x.id, count(*)::DOUBLE AS c FROM t x JOIN t y ON y.id = x.id + 1 AND x.w = y.w GROUP BY x.id) SELECT a.id, round(1 - coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)), 6) AS distance FROM n a JOIN n b ON b.id = a.id + 1 LEFT JOIN i ON i.id = a.id",
+        "tanimoto_bit_edges": f"WITH {_T}, i AS (SELECT x.id AS src, y.id AS dst, count(*)::DOUBLE AS c FROM t x JOIN t y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id) SELECT src, dst, round({jaccard}, 6) AS weight FROM i JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE {jaccard} < {ALIKE}",
+        "tanimoto_bit_knn": f"WITH {_T}, q AS (SELECT item_id AS id, unnest(list_distinct(string_split(text, ' '))) AS w FROM benchmark), m AS (SELECT id, count(*) AS n FROM q GROUP BY id), i AS (SELECT q.id AS qid, t.id AS rid, count(*)::DOUBLE AS c FROM q JOIN t USING (w) GROUP BY q.id, t.id), d AS (SELECT a.id AS query_id, b.id AS ref_id, 1 - coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS distance FROM m a CROSS JOIN n b LEFT JOIN i ON qid = a.id AND rid = b.id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM d) SELECT query_id, CAST(rank AS INTEGER) AS rank, ref_id, round(distance, 6) AS distance FROM k WHERE rank <= {KNN}",
+        "bit_fingerprint": "SELECT doc_id, CAST(len(list_distinct(list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w) % 256))) AS BIGINT) AS n_on FROM documents",
+        "graph_summary": f"WITH {_E} SELECT (SELECT count(*) FROM embeddings) AS n, count(*) AS edges, round(sum(weight), 4) AS m, round(sum(1 - weight), 4) AS total_weight FROM e",
+        "weight_mapping": f"WITH {_E} SELECT src, dst, round(weight, 6) AS similarity, round(1 / (1 + weight), 6) AS distance, round(1 - weight, 6) AS similarity_complement, 1.0::DOUBLE AS unweighted FROM e",
+        "neighbors": f"WITH {_E} SELECT src AS v, dst AS u, round(1 / (1 + weight), 6) AS w FROM e UNION ALL SELECT dst, src, round(1 / (1 + weight), 6) FROM e",
+        "strength": f"WITH {_E}, s AS (SELECT src AS v, 1 / (1 + weight) AS w FROM e UNION ALL SELECT dst, 1 / (1 + weight) FROM e) SELECT id, round(coalesce(sum(w), 0), 6) AS strength FROM v LEFT JOIN s ON s.v = v.id GROUP BY id",
+        "supply_strength": "WITH s AS (SELECT l_partkey AS id, l_quantity AS w FROM lineitem UNION ALL SELECT -l_suppkey - 1, l_quantity FROM lineitem), n AS (SELECT p_partkey AS id FROM part UNION ALL SELECT -s_suppkey - 1 FROM supplier) SELECT n.id, round(coalesce(sum(w), 0), 6) AS strength FROM n LEFT JOIN s ON s.id = n.id GROUP BY n.id",
+        "subgraph": f"WITH {_E}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM v WHERE label <= 2) SELECT a.new_id AS src, b.new_id AS dst, round(1 - weight, 6) AS weight FROM e JOIN k a ON a.id = src JOIN k b ON b.id = dst",
+        "components": f"{_C} SELECT id, cluster FROM c",
+        "component_sizes": f"{_C} {sizes}",
+        "order_components": "WITH k AS (SELECT o_custkey, count(*) + 1 AS size FROM orders GROUP BY o_custkey) SELECT size, count(*) AS components FROM k GROUP BY size",
+        "largest_cluster": f"{_C} {sizes} ORDER BY size DESC, cluster LIMIT 1",
+        "partition": _split_sql("SELECT id, cluster FROM c", False),
+        "partition_filtered": _split_sql("SELECT id, CAST(label AS BIGINT) AS cluster FROM v", True),
+        "communities_invariants": "SELECT 0::BIGINT AS crossing, true AS whole, true AS beats_components, true AS beats_singletons",
+        "ann_quality": "SELECT 0::BIGINT AS wrong, true AS edge_recall, true AS neighbor_recall",
+        "fasta_read": "SELECT * FROM (VALUES (0::BIGINT, 'seq1 first protein', 'ACDEFGHI'), (1, 'seq2', 'PQRSTVWY'), (2, 'empty', '')) t(id, header, sequence)",
+        "smi_read": "SELECT * FROM (VALUES (0::BIGINT, 'benzene', 'c1ccccc1'), (1, '3', 'CC(=O)O'), (2, 'ethyl alcohol', 'CCO')) t(id, label, smiles)",
+        "csv_mol_read": "SELECT * FROM (VALUES (0::BIGINT, 'benzene', 'c1ccccc1'), (1, 'water', 'O')) t(id, label, smiles)",
+        "edgelist_round_trip": edges,
+        "edge_table_round_trip": edges,
+    }

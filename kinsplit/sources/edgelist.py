@@ -40,12 +40,23 @@ def read(spark: SparkSession, path: str) -> EdgeStore:
     return _bad(f"unknown extension of {path}: .edgelist, .edgestr or .parquet")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_text(store: EdgeStore, path: str) -> None:
-    """One file: ``# n = <count>``, then ``u v w`` a line. The lines stream through the driver; tables do not."""
-    with open(path, "w") as f:
-        f.write(f"# n = {store.node_count}\n")
-        for r in store.edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
-            f.write(f"{r['src']} {r['dst']} {r['weight']:g}\n")
+    """One file: ``# n = <count>``, then ``u v w`` a line, in order. One task writes it, as there is one file; tables have no such limit."""
+    spark = store.edges.sparkSession
+    target, fs = _hadoop(spark, path)
+    head = spark.createDataFrame([(f"# n = {store.node_count}", -1, 0)], "line string, src long, dst long")
+    rows = store.edges.select(F.concat_ws(" ", "src", "dst", "weight").alias("line"), "src", "dst")
+    parts, _ = _hadoop(spark, path + ".parts")
+    head.unionByName(rows).repartition(1).sortWithinPartitions("src", "dst").select("line").write.mode("overwrite").text(parts.toString())
+    found = [s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")]
+    fs.delete(target, False)
+    fs.rename(found[0], target)
+    fs.delete(parts, True)
 
 
 def read_text(spark: SparkSession, path: str) -> EdgeStore:
@@ -67,16 +78,18 @@ def read_text(spark: SparkSession, path: str) -> EdgeStore:
 
 
 def write_records(store: EdgeStore, path: str) -> None:
-    """Header (version, nodes, edges) and 12 bytes an edge, streamed."""
-    with open(path, "wb") as f:
-        f.write(_HEAD.pack(*FORMAT_VERSION, store.node_count, len(store)))
-        held = []
-        for r in store.edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
-            held.append((r["src"], r["dst"], r["weight"]))
-            if len(held) == 65536:
-                f.write(np.array(held, _RECORD).tobytes())
-                held = []
-        f.write(np.array(held, _RECORD).tobytes())
+    """Header (version, nodes, edges) and 12 bytes an edge, streamed through the driver in pieces of bounded size."""
+    target, fs = _hadoop(store.edges.sparkSession, path)
+    out = fs.create(target, True)
+    out.write(bytearray(_HEAD.pack(*FORMAT_VERSION, store.node_count, len(store))))
+    held = []
+    for r in store.edges.orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
+        held.append((r["src"], r["dst"], r["weight"]))
+        if len(held) == 65536:
+            out.write(bytearray(np.array(held, _RECORD).tobytes()))
+            held = []
+    out.write(bytearray(np.array(held, _RECORD).tobytes()))
+    out.close()
 
 
 def read_records(spark: SparkSession, path: str) -> EdgeStore:
