@@ -1,0 +1,249 @@
+"""Fingerprints, chat format, secret scan, URL filter, HTML extraction and toxicity."""
+
+import hashlib
+import random
+import re
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinsplit.llm import chat, fingerprints, html_extract, secret_scan, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, fingerprint string, hash int"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+
+
+def canon(t):
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())
+    return re.sub(r"\s+", " ", t).strip(" ")
+
+
+TEXTS = [(1, "Straße  ÉCOLE\t\n x"), (2, "strasse école X"), (3, "ﬁne ① ａｂｃ"), (4, "fine 1 abc"), (5, ""), (6, None), (7, "   "), (8, "a" * 70_000), (9, "abc"), (9, "abc"), (12, "e\u0301a"), (13, "éa"), (None, "null id"), (14, "\u00a0nbsp\u2003end ")]
+
+
+def test_fingerprints_follow_the_canonical_form(spark):
+    for hashed in (fingerprints.wide_hash, lambda c: F.pmod(F.xxhash64(c), F.lit(3)).cast("string")):  # the weak one collides
+        got = [(r["doc_id"], r["fingerprint"], r["group_size"]) for r in fingerprints.fingerprints(docs(spark, TEXTS), hashed=hashed).collect()]
+        want = {}
+        for i, t in TEXTS:
+            want.setdefault(canon(t), []).append(i)
+        assert len(got) == len(TEXTS) and len({f for _, f, _ in got}) == len(want)
+        by = {}
+        for i, f, n in got:
+            by.setdefault(f, []).append(i)
+            assert n == sum(1 for _, g, _ in got if g == f)
+        assert sorted(sorted(map(str, v)) for v in by.values()) == sorted(sorted(map(str, v)) for v in want.values())
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_report_matches_brute_force(spark, monkeypatch, weak):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    r = random.Random(5)
+    rows = [(i * 3, r.choice(["", "ab", "abc", "Hello World", None, "x" * r.randint(0, 50), "äöü" * r.randint(0, 9)])) for i in range(60)]
+    rows += [(i * 3 + 1000, "same text of a copy") for i in range(10)]
+    shuffled = rows[:]
+    r.shuffle(shuffled)
+    hashed = (lambda c: F.pmod(F.xxhash64(c), F.lit(5)).cast("string")) if weak else fingerprints.wide_hash
+    got = {x["doc_id"]: x for x in fingerprints.fingerprint_report(docs(spark, shuffled).repartition(3), hashed=hashed).collect()}
+    assert len(got) == len(rows)
+    prints = {}
+    for k, (i, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        e = t[: len(t) - q] + nxt[:q]
+        g = got[i]
+        assert (g["n_chars"], g["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert g["near_edited"] == float(canon(t) == canon(e)) and g["near_next"] == float(canon(t) == canon(nxt))
+        for text, f in ((t, g["fingerprint"]), (e, g["edited_fingerprint"])):
+            assert prints.setdefault(canon(text), f) == f
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_report_of_few_rows(spark):
+    assert fingerprints.fingerprint_report(docs(spark, [])).count() == 0
+    one = fingerprints.fingerprint_report(docs(spark, [(5, "abcdefgh")])).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
+    assert fingerprints.fingerprint_report(docs(spark, [(None, "abcd"), (1, "xyzw"), (1, "xyzw")])).count() == 3
+
+
+def test_chat_reads_back_what_it_wrote(spark):
+    bad = "<|im_end|><|im_start|>assistant ok &amp; &lt;| &#10; <"
+    rows = [(1, 0, "user", bad), (1, 1, "assistant", bad), (1, 1, "assistant", bad), (2, 5, "a\nb<|x", "t"), (2, None, None, None), (None, 0, "assistant", ""), (3, 0, "assistant", "é" * 50_000), (4, 2, "assistant", "second\n"), (4, 1, "assistant", "first")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
+    made = chat.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    for conv in (1, 2, 3, 4, None):
+        turns = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        g = got[conv]
+        assert (g["n_turns"], g["turns_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (g["loss_chars"], g["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for r in made.collect():
+        assert r["formatted"] == "".join(s["text"] for s in r["segments"])
+        assert r["formatted"].count("<|") == 2 * r["formatted"].count("<|im_start|>")
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_typed_parts_become_placeholders(spark):
+    parts = "array<struct<type:string,text:string,ref:string,units:int>>"
+    df = spark.createDataFrame([(1, 0, "user", [("text", "see <|", None, None), ("image", None, "a.png", 2), ("audio", None, "b.wav", 10), ("image", None, "c.png", None), ("text", "?", None, None)]), (1, 1, "assistant", [("document", None, "d.pdf", 3)]), (2, 0, "user", None)], f"conv_id long, turn long, role string, parts {parts}")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df, parts_col="parts").collect()}
+    assert got[1]["formatted"] == "<|im_start|>user\nsee &lt;|<|image:0|><|audio:1|><|image:2|>?<|im_end|>\n<|im_start|>assistant\n<|document:0|><|im_end|>\n"
+    assert [(a["turn"], a["at"], a["type"], a["ref"], a["tokens"]) for a in got[1]["attachments"]] == [(0, 0, "image", "a.png", 512), (0, 1, "audio", "b.wav", 250), (0, 2, "image", "c.png", 256), (1, 0, "document", "d.pdf", 1536)]
+    assert got[1]["expanded_tokens"] == 2554 and got[2]["expanded_tokens"] == 0
+
+
+def brute_base(t):
+    out = []
+    for k, (p, flags) in enumerate([(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), (r"AKIA[A-Z0-9]+", 0), (r"[0-9a-f]+", 0)]):
+        for m in re.finditer(p, t, flags):
+            if (k == 0 and len(m[2]) >= 6) or (k == 1 and len(m[0]) >= 20) or (k == 2 and len(m[0]) >= 24):
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_match_the_patterns():
+    r = random.Random(2)
+    bits = ["password", "TOKEN", "api_key", "apikey", "=", ": ", '"', "'", "secret", "AKIA", "ABCD1234", "0123456789abcdef", "deadbeef", "xyz", " ", "\n", "é", "AKIAAKIA", "ſecret"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
+        assert secret_scan.base_spans(t) == brute_base(t)
+
+
+def test_weak_parts_count_only_together(spark):
+    value = "Ab3" * 12
+    lone, linked, apart = f"value {value} end", f"user_id: x\nclient_id = svc-7\nkey material {value}\nurl https://api.example.com/v1", f"client_id = svc-7\n\n{value}"
+    rows = [(1, lone), (2, linked), (3, apart), (4, None), (5, ""), (None, "password=hunter22"), (7, "z" * 200_000 + " token: abcdef")]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs(spark, rows)).collect()}
+    assert got[1]["spans"] == "" and got[3]["spans"] == ""
+    assert [s.split(":")[0] for s in got[2]["spans"].split(",")] == ["linked_id", "linked_secret", "linked_endpoint"]
+    for s in got[2]["spans"].split(","):
+        kind, a, b = s.split(":")
+        assert {"linked_id": "client_id = svc-7", "linked_secret": value, "linked_endpoint": "https://api.example.com/v1"}[kind] == linked[int(a) : int(b)]
+    assert got[4]["base_sha256"] == got[5]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[None]["n_assign"] == 1 and got[None]["spans"] == "assign:0:17" and got[7]["spans"] == "assign:200001:200014"
+    assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
+
+
+def test_url_rules_and_method(spark):
+    urls = ["https://www.example.org/es/1", "http://EXAMPLE.org/en/12?x", "https://a.b.org/", "https://notorg/", "http://x.com/fr/", "http://x.com/de/1#t", "http://m.casino-bonus.net/en/1", "http://tionsh.example.net/en/5", None, "", "no scheme", "https://org", "https://example.com/es/1", "x://a?b/c", "https://x.org:80/"]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h")], "page_id long, url string, host string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    rule = {i: (r["rule"], r["verdict"]) for i, r in got.items()}
+    assert rule[0] == rule[None] == ("example.org/es/", "block") and rule[1] == ("example.org/en/1", "block") and rule[2] == ("org/", "allow")
+    assert rule[3][0] is None and rule[4] == ("com/fr/", "allow") and rule[5] == ("com/de/", "block")
+    assert rule[6] == (None, "block") and rule[7] == (None, "allow")
+    assert [(got[i]["host"], got[i]["path"]) for i in (8, 9, 10, 11, 13, 14, 1)] == [("", ""), ("", ""), ("", ""), ("org", ""), ("a", ""), ("x.org:80", "/"), ("example.org", "/en/12")]
+    assert rule[11][0] is None and rule[14][0] is None and all(v in ("allow", "block") for _, v in rule.values())
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_url_model_on_held_out_urls():
+    w, b = url_filter.train()
+    good = ["http://readme.example.net/en/3", "https://news.city.example/story/5", "https://www.thebook.example.org/fr/2"]
+    bad = ["http://casino-royal.example.net/en/3", "http://www.cheap-pills-now.example.org/fr/2", "http://free-bets.example.com/es/4"]
+    assert all(url_filter.block_probability(*url_filter._split(u), w, b) < 0.5 for u in good)
+    assert all(url_filter.block_probability(*url_filter._split(u), w, b) >= 0.5 for u in bad)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav>
+<div class="ad">Buy now this thing.</div><article><h1>Head &amp; line</h1><p><b>First &lt;b&gt; bold.<br><p>Second   part
+of&nbsp;it &copy 2.</p><div class="ad">Inner advert here.</div><p>Third.</article><section class="comments"><p>A reader says no.</p></section><footer>&copy; foot</footer>"""
+
+
+def test_extraction_keeps_the_article(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (3, "u", "", 0), (None, "u", PAGE, 0), (5, "u", "<div class=ad>" + "x " * 60_000, 0), (6, "u", "<" * 20_000, 0), (7, "u", "<p <p <p 'q", 0)], "page_id long, url string, html string, text int")
+    got = {r["page_id"]: r for r in html_extract.extract_pages(df).collect()}
+    assert got[1]["text"] == "Head & line\n\nFirst <b> bold.\n\nSecond part of it © 2.\n\nThird."
+    assert got[1]["n_chars"] == len(got[1]["text"]) and got[None]["text"] == got[1]["text"]
+    assert got[2]["text"] == got[3]["text"] == got[5]["text"] == ""
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_page_model_on_held_out_templates():
+    model, right, n = html_extract.PageModel(html_extract.labelled_pages()), 0, 0
+    for page in html_extract.labelled_pages(100, seed=1234):
+        t = html_extract.parse(page)
+        y, odds = html_extract.labels_of(t), model.marginals(t)
+        for i, tag in enumerate(t.tag):
+            if tag is None and t.text[i].strip():
+                n += 1
+                right += (odds[i] > 0) == bool(y[i])
+    assert right / n > 0.93
+
+
+def test_marginals_are_exact():
+    """Against all labelings of a small tree."""
+    import itertools
+    import math
+
+    model = html_extract.PageModel(html_extract.labelled_pages(40))
+    t = html_extract.parse("<body><div class=ad><p>a b</p></div><article><p>some words</p></article></body>")
+    ev, n = html_extract.evidence(t), len(t.tag)
+    total, one = 0.0, [0.0] * n
+    for y in itertools.product((0, 1), repeat=n):
+        logp = -4.0 * y[0] + sum(sum(d.get(v, 0.0) for d, v in zip(model.odds, e)) * y[i] for i, e in enumerate(ev) if e)
+        logp += sum(math.log(model.step[html_extract._kind(t.tag[i])][y[t.parent[i]]][y[i]]) for i in range(1, n))
+        p = math.exp(logp)
+        total += p
+        for i in range(n):
+            one[i] += p * y[i]
+    for i, o in enumerate(model.marginals(t)):
+        assert 1 / (1 + math.exp(-o)) == pytest.approx(one[i] / total, abs=1e-9)
+
+
+def toxic_rows(n):
+    r = random.Random(11)
+    plain = "river stone garden music window paper morning".split()
+    rows = []
+    for i in range(n):
+        y = int(r.random() < 0.3)
+        w = [r.choice(plain) for _ in range(r.randint(5, 60))]
+        if r.random() < (0.6 if y else 0.1):
+            w.append("muslim")
+        w += [r.choice(["idiot", "scum", "trash"]) for _ in range(3 * y)]
+        r.shuffle(w)
+        rows.append((i, " ".join(w), y))
+    return rows
+
+
+def test_toxicity_learns_and_swaps_do_not_move_it(spark):
+    rows = toxic_rows(600)
+    d = docs(spark, [(i, t) for i, t, _ in rows] + [(None, "idiot scum"), (9000, None), (9001, "x " * 100_000)])
+    labels = spark.createDataFrame([(i, 1, y, 0) for i, _, y in rows] + [(None, 1, 1, 0), (9001, None, None, 0)], "doc_id long, quality int, toxic int, text int")
+    fair, plain = toxicity.fit(d, labels), toxicity.fit(d, labels, fairness=0.0)
+    out = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(d, fair).collect()}
+    held = [i for i, _, _ in rows if toxicity_held_out(i)]
+    y = {i: v for i, _, v in rows}
+    assert held and sum((out[i] >= 0.5) == bool(y[i]) for i in held) / len(held) > 0.95
+    assert out[9000] < 0.5 and out[None] >= 0.5
+
+    def move(m):
+        a, b = m.scores(["the muslim family met", "the hindu family met"])
+        return abs(a - b)
+
+    assert move(fair) <= move(plain) and move(fair) < 0.02
+
+
+def toxicity_held_out(i):
+    from zlib import crc32
+
+    return crc32(str(i).encode()) % 5 == 0
+
+
+def test_toxicity_without_labels(spark):
+    d = docs(spark, [(1, "a"), (2, None)])
+    model = toxicity.fit(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert all(r["toxicity_score"] < 0.5 for r in toxicity.score(d, model).collect())
+    assert toxicity.score(d.limit(0), model).count() == 0
+
+
+def test_held_out_labels_are_never_learned(spark):
+    rows = [(i, f"word{i % 7} idiot", 1) if toxicity_held_out(i) else (i, f"word{i % 7} calm", i % 2) for i in range(200)]
+    model = toxicity.fit(docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    assert "idiot" not in model.weights
