@@ -1,5 +1,6 @@
 """Exact and near dedup against brute force."""
 
+import functools
 import hashlib
 import random
 
@@ -28,20 +29,27 @@ def edited(text, k, seed):
     return " ".join(w)
 
 
+@functools.cache
+def bag(t):
+    w = t.lower().split()
+    out = {}
+    for x in [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else []):
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
 def jp(a, b):
     """Probability Jaccard by its definition."""
+    a, b = bag(a), bag(b)
+    keys = a.keys() | b.keys()
+    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in keys) for d in a.keys() & b.keys())
 
-    def bag(t):
-        w = t.lower().split()
-        s = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
-        out = {}
-        for x in s:
-            out[x] = out.get(x, 0) + 1
-        return out
 
-    a, b = bag(a), bag(b)
-    keys = set(a) | set(b)
-    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in keys) for d in set(a) & set(b))
+def linked(a, b):
+    both = bag(a).keys() & bag(b).keys()
+    if not both or min(sum(x[d] for d in both) / sum(x.values()) for x in (bag(a), bag(b))) < 0.8:  # a bound of J_P
+        return False
+    return jp(a, b) >= 0.8
 
 
 def test_exact_groups_match_brute_force(spark):
@@ -137,7 +145,7 @@ def brute_classes(rows):
 
     for x, (i, a) in enumerate(rows):
         for j, b in rows[x + 1 :]:
-            if (a or "").lower() == (b or "").lower() or jp(a or "", b or "") >= 0.8:
+            if (a or "").lower() == (b or "").lower() or linked(a or "", b or ""):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
     return {i: find(i) for i in ids}
