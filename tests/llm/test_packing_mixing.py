@@ -113,7 +113,7 @@ def targets_by_hand(sizes):
 def mixed_rows():
     r = random.Random(8)
     rows = [(i, "w " * min(3000, int(r.expovariate(1 / 80))), r.choice(["hot"] * 8 + ["a", "é", "b", "Z", None, "tiny"][: 6 if i < 300 else 5])) for i in range(1500)]
-    return rows + [(5000, None, "a"), (5001, "\x0b\x1c x\u00a0y", "b"), (None, "q q q", "b"), (7, "same", "a"), (7, "same", "a"), (5002, "one two", "single"), (5003, "", "void")]
+    return rows + [(5000, None, "a"), (5001, "\x0b\x1c x\u00a0y", "b"), (None, "q q q", "b"), (5007, "same", "a"), (5007, "same", "a"), (5002, "one two", "single"), (5003, "", "void")]
 
 
 def test_mix_meets_targets(spark):
