@@ -106,10 +106,12 @@ def read_records(spark: SparkSession, path: str) -> EdgeStore:
     if head["n"] != _HEAD.size + edges * _RECORD.itemsize:
         _bad(f"{path} is cut short")
 
+    offset = _HEAD.size
+
     def run(batches):
         for pdf in batches:
             for c in pdf["content"]:
-                a = np.frombuffer(c, _RECORD, offset=_HEAD.size)
+                a = np.frombuffer(c, _RECORD, offset=offset)
                 for i in range(0, max(1, len(a)), 100_000):
                     p = a[i : i + 100_000]
                     yield pd.DataFrame({"src": p["src"].astype(np.int64), "dst": p["dst"].astype(np.int64), "weight": p["weight"].astype(float)})
