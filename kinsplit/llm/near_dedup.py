@@ -33,7 +33,7 @@ BANDS, ROWS = 28, 5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C55
 SLAB = 4 << 20  # bytes of text hashed at a time
-PAIRS_PER_TASK = 5_000
+PAIRS_PER_TASK = 1_000
 SLOTS = 1 << 20  # counters that order shingles by frequency: 4 MB, whatever the input; any order gives whole results
 SEGMENT = 1 << 14
 BLOCK, PROBES = 250, 4_000  # documents held together, and documents compared with them, a task
