@@ -314,3 +314,22 @@ def test_config():
     c = HNSWConfig()
     assert len(c.dict()) == 17 and c.ef_construction == 64 and str(c).startswith("HNSWConfig(proximity_threshold=0.5")
     assert len(ScoringMatrix) == 69 and len(KernelVariant) == 5
+
+
+def test_public_names():
+    import kinsplit
+    from kinsplit import core, kernels, utils
+    from kinsplit.kernels import alignments, molecules, structures
+
+    for module in (core, kernels, utils, alignments, molecules, structures):
+        assert all(hasattr(module, n) for n in module.__all__)
+    for name in ("KernelVariant", "HNSWState", "LeidenObjective", "find_communities", "find_components", "partition", "exact_edges", "exact_nearest_neighbors"):
+        assert hasattr(kinsplit, name)
+
+
+def test_incremental_edges(spark):
+    from kinsplit.streaming.incremental import new_edges
+
+    v = items(spark, SEQS)
+    got = new_edges(KernelVariant.AlignmentGlobal, v.where("id < 3"), v.where("id >= 3"), 0.5)
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == [(0, 3), (2, 3)]
