@@ -1,18 +1,18 @@
 """Secret scans with multipart credential linking.
 
 Base findings are three kinds of spans by pattern. On top of them, weak parts are sought: access identifiers, opaque
-secret values and endpoints, none of which says much by itself. Parts are intervals; scopes are intervals too (blocks
-of lines parted by blank lines, of at most SCOPE_LINES lines). Joining parts with the scopes that hold them puts
-complementary parts together, and a weak secret is reported only where its scope also has an identifier or a base
-finding, or an endpoint that asks for credentials; the identifiers and endpoints that it is linked to are reported
-with it. Parts and scopes are both in order, so the join is one sweep over a text.
+secret values and endpoints, none of which says much by itself. Parts are intervals; so is the scope of each secret: its
+line and SCOPE_LINES lines either way, within its block (blocks are parted by blank lines). Joining parts with the
+scopes that hold them puts complementary parts together, and a weak secret is reported only where its scope also has an
+identifier or a base finding, or an endpoint that asks for credentials; the identifiers and endpoints that it is linked
+to are reported with it. Parts and scopes are both in order, so the join is one sweep over a text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -29,7 +29,7 @@ _ID = re.compile(r"""(?:client_?id|account_?id|access_?id|key_?id|user_?name|log
 _VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+")
 _DIGIT, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
-_BLANK = re.compile(r"\n[ \t\r]*\n")
+_BLANK, _FEED = re.compile(r"\n[ \t\r]*\n"), re.compile(r"\n")
 SCOPE_LINES = 20
 
 
@@ -41,49 +41,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scopes(text: str) -> list[int]:
-    """Starts of the scopes, in order; each ends where the next one starts."""
-    starts = [0] + [m.end() for m in _BLANK.finditer(text)]
+def scopes(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the scope of each place: its line and SCOPE_LINES lines either way, as far as its block goes."""
+    blocks = [0, *(m.end() for m in _BLANK.finditer(text)), len(text) + 1]
+    lines = [0, *(m.end() for m in _FEED.finditer(text))]
     out = []
-    for a, b in zip(starts, [*starts[1:], len(text)]):
-        out.append(a)
-        lines, at = 0, a
-        while (at := text.find("\n", at, b)) >= 0:
-            at += 1
-            lines += 1
-            if lines % SCOPE_LINES == 0 and at < b:
-                out.append(at)
+    for at in places:
+        block, line = bisect_right(blocks, at), bisect_right(lines, at) - 1
+        end = lines[line + SCOPE_LINES + 1] if line + SCOPE_LINES + 1 < len(lines) else len(text) + 1
+        out.append((max(blocks[block - 1], lines[max(0, line - SCOPE_LINES)]), min(blocks[block], end)))
     return out
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of weak parts that complement one another or a base finding within a scope."""
+    """Spans of weak parts that complement one another or a base finding within a secret's scope."""
     secrets = [(m.start(), m.end()) for m in _VALUE.finditer(text) if _DIGIT.search(m[0]) and _UPPER.search(m[0]) and _LOWER.search(m[0])]
     if not secrets:
         return []
     taken = [(s, e) for s, _, e in base]
-    starts = scopes(text)
-    of = lambda at: bisect_right(starts, at) - 1
-    parts: dict[int, tuple[list, list, list]] = {}
     inside, k = [], 0
     for s, e in secrets:  # values that a base finding covers are no weak parts
         while k < len(taken) and taken[k][1] <= s:
             k += 1
         if not (k < len(taken) and taken[k][0] < e):
             inside.append((s, e))
-    for s, e in inside:
-        parts.setdefault(of(s), ([], [], []))[1].append((s, e))
-    for m in _ID.finditer(text):
-        if (p := parts.get(of(m.start()))) is not None:
-            p[0].append((m.start(), m.end()))
-    for m in _ENDPOINT.finditer(text):
-        if (p := parts.get(of(m.start()))) is not None:
-            p[2].append((m.start(), m.end()))
-    strong = {of(s) for s, kind, _ in base if kind < 2}
-    out = []
-    for scope, (ids, values, ends) in parts.items():
-        if ids or scope in strong or (ends and any("@" in text[s:e] for s, e in ends)):
-            out += [(s, 3, e) for s, e in ids] + [(s, 4, e) for s, e in values] + [(s, 5, e) for s, e in ends]
+    if not inside:
+        return []
+    ids = [(m.start(), m.end()) for m in _ID.finditer(text)]
+    ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    asking = [(s, e) for s, e in ends if "@" in text[s:e]]
+    strong = [(s, e) for s, kind, e in base if kind < 2]
+    out, told = [], [0, 0]
+    for (s, e), (a, b) in zip(inside, scopes(text, [s for s, _ in inside])):
+        within = [(bisect_left(parts, (a,)), bisect_left(parts, (b,))) for parts in (ids, ends, asking, strong)]
+        if any(i < j for i, j in (within[0], within[2], within[3])):
+            out.append((s, 4, e))
+            for n, (parts, kind) in enumerate(((ids, 3), (ends, 5))):  # scopes are in order: what came before is there
+                i, j = within[n]
+                out += [(x, kind, y) for x, y in parts[max(i, told[n]) : j]]
+                told[n] = j
     return out
 
 

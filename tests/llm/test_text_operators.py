@@ -130,6 +130,22 @@ def test_weak_parts_count_only_together(spark):
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
 
 
+def linked(t):
+    return [(secret_scan.KINDS[k], t[s:e]) for s, k, e in sorted(secret_scan.linked_spans(t, secret_scan.base_spans(t)))]
+
+
+def test_parts_are_linked_by_distance():
+    value, part = "Ab3" * 12, "client_id = svc-7"
+    for first, second in ((part, value), (value, part)):
+        for above in range(45):  # wherever the pair stands from the block's start, line 20/21 included
+            for apart in (1, 19, 20):
+                assert len(linked("x\n" * above + first + "\nx" * (apart - 1) + "\n" + second + "\ny")) == 2
+            assert linked("x\n" * above + first + "\nx" * 20 + "\n" + second) == []
+    assert linked(f"{part}\n\n{value}") == linked(f"{value}\n \n{part}") == []
+    chain = "\n".join([part, *["x"] * 15, value, *["x"] * 15, "login: a.b", *["x"] * 15, value, "password=hunter22"])
+    assert [k for k, _ in linked(chain)] == ["linked_id", "linked_secret", "linked_id", "linked_secret"]
+
+
 def test_url_rules_and_method(spark):
     urls = ["https://www.example.org/es/1", "http://EXAMPLE.org/en/12?x", "https://a.b.org/", "https://notorg/", "http://x.com/fr/", "http://x.com/de/1#t", "http://m.casino-bonus.net/en/1", "http://tionsh.example.net/en/5", None, "", "no scheme", "https://org", "https://example.com/es/1", "x://a?b/c", "https://x.org:80/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h")], "page_id long, url string, host string")
