@@ -26,7 +26,7 @@ LEAST_VALUE = 6
 
 # Weak parts.
 _ID = re.compile(r"""(?:client_?id|account_?id|access_?id|key_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+")
 _DIGIT, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
 _BLANK, _FEED = re.compile(r"\n[ \t\r]*\n"), re.compile(r"\n")
@@ -53,6 +53,16 @@ def scopes(text: str, places: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _end(span: tuple[int, int]) -> int:
+    return span[1]
+
+
+def _others(within: tuple[int, int], covered: tuple[int, int]) -> bool:
+    """Whether a range of positions has any outside another one."""
+    (i, j), (k, m) = within, covered
+    return j - i > max(0, min(j, m) - max(i, k))
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of weak parts that complement one another or a base finding within a secret's scope."""
     secrets = [(m.start(), m.end()) for m in _VALUE.finditer(text) if _DIGIT.search(m[0]) and _UPPER.search(m[0]) and _LOWER.search(m[0])]
@@ -73,8 +83,9 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     strong = [(s, e) for s, kind, e in base if kind < 2]
     out, told = [], [0, 0]
     for (s, e), (a, b) in zip(inside, scopes(text, [s for s, _ in inside])):
+        covered = (bisect_right(ids, s, key=_end), bisect_left(ids, (e,)))  # an identifier does not complement itself
         within = [(bisect_left(parts, (a,)), bisect_left(parts, (b,))) for parts in (ids, ends, asking, strong)]
-        if any(i < j for i, j in (within[0], within[2], within[3])):
+        if _others(within[0], covered) or any(i < j for i, j in within[2:]):
             out.append((s, 4, e))
             for n, (parts, kind) in enumerate(((ids, 3), (ends, 5))):  # scopes are in order: what came before is there
                 i, j = within[n]
