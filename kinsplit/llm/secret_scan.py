@@ -4,8 +4,8 @@ Base findings are three kinds of spans by pattern. On top of them, weak parts ar
 secret values and endpoints, none of which says much by itself. Parts are intervals; so is the scope of each secret: its
 line and SCOPE_LINES lines either way, within its block (blocks are parted by blank lines). Joining parts with the
 scopes that hold them puts complementary parts together, and a weak secret is reported only where its scope also has an
-identifier or a base finding, or an endpoint that asks for credentials; the identifiers and endpoints that it is linked
-to are reported with it. Parts and scopes are both in order, so the join is one sweep over a text.
+identifier, a base finding or an endpoint (for a value that is a piece of an endpoint itself, one that asks for
+credentials); the identifiers and endpoints that it is linked to are reported with it. Parts and scopes are both in order, so the join is one sweep over a text.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     for (s, e), (a, b) in zip(inside, scopes(text, [s for s, _ in inside])):
         covered = (bisect_right(ids, s, key=_end), bisect_left(ids, (e,)))  # an identifier does not complement itself
         within = [(bisect_left(parts, (a,)), bisect_left(parts, (b,))) for parts in (ids, ends, asking, strong)]
-        if _others(within[0], covered) or any(i < j for i, j in within[2:]):
+        apart = bisect_right(ends, s, key=_end) == bisect_left(ends, (e,))  # a piece of an endpoint takes more than others
+        if _others(within[0], covered) or any(i < j for i, j in within[1 if apart else 2 :]):
             out.append((s, 4, e))
             for n, (parts, kind) in enumerate(((ids, 3), (ends, 5))):  # scopes are in order: what came before is there
                 i, j = within[n]

@@ -159,6 +159,16 @@ def test_assigned_values_are_weak_secrets():
     assert len(linked("login=bob\nclient_id=" + "Ab3" * 12)) == 3
 
 
+def test_any_endpoint_complements_a_secret():
+    value, url = "Ab3x" * 10, "https://api.example.com/v1"
+    assert linked(f"url {url}\nkey {value}") == [("linked_endpoint", url), ("linked_secret", value)]
+    assert linked(f"key={value}" + "\nx" * 19 + f"\n{url}\n") == [("linked_secret", value), ("linked_endpoint", url)]
+    assert linked(f"key={value}" + "\nx" * 20 + f"\n{url}\n") == linked(f"{value}\n\n{url}") == []
+    long = f"https://files.example.com/d/{value}/view"  # its path is no secret, by itself or next to another link
+    assert linked(long) == linked(f"{url} {long}") == linked(f"{long}\n{long}") == []
+    assert ("linked_secret", value) in linked(f"db://bob:{value}@db.example.com/x")
+
+
 def test_url_rules_and_method(spark):
     urls = ["https://www.example.org/es/1", "http://EXAMPLE.org/en/12?x", "https://a.b.org/", "https://notorg/", "http://x.com/fr/", "http://x.com/de/1#t", "http://m.casino-bonus.net/en/1", "http://tionsh.example.net/en/5", None, "", "no scheme", "https://org", "https://example.com/es/1", "x://a?b/c", "https://x.org:80/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h")], "page_id long, url string, host string")
