@@ -41,13 +41,16 @@ class Graph:
         self.layers: list[dict[int, list[int]]] = [{} for _ in range(max_layers(len(ids), config.m_l))]
         self.entry: tuple[int, int] | None = None
         self.near: dict[tuple[int, int], float] = {}
+        self.foreign: dict[int, float] | None = None
 
     def _take(self, rows: list[int]):
         return self.loaded[rows] if isinstance(self.loaded, np.ndarray) else [self.loaded[i] for i in rows]
 
     def distances(self, query, rows: list[int], own: int | None = None) -> list[float]:
-        """From a loaded query of one item to rows; pairs under the threshold are kept when the query is of the shard."""
+        """From a loaded query of one item to rows; pairs under the threshold are kept when the query is of the shard or ``foreign`` is there."""
         d = self.kernel.block(self._take(rows), query)[:, 0].tolist()
+        if self.foreign is not None:
+            self.foreign.update((r, x) for r, x in zip(rows, d) if x < self.c.proximity_threshold)
         if own is not None and self.c.keep_all_edges:
             for r, x in zip(rows, d):
                 if x < self.c.proximity_threshold and r != own:
@@ -152,6 +155,13 @@ class Graph:
             ep = self.search_layer(query, ep, ef, layer, False)[:1]
         return self.search_layer(query, ep, max(ef, k), 0, self.c.strict_ef)[:k]
 
+    def search_near(self, query, ef: int) -> dict[int, float]:
+        """Everything under the threshold that the search for an item of another shard evaluates."""
+        self.foreign = found = {}
+        self.search(query, ef, ef)
+        self.foreign = None
+        return found
+
     def rows(self, shard: int):
         for layer, near in enumerate(self.layers):
             for i in sorted(near):
@@ -264,23 +274,28 @@ class HNSWState:
     def _across(self, nodes: DataFrame) -> DataFrame:
         """(a, b, weight): what the graphs of other shards find under the threshold."""
         q = self.dealt.select("id", "item", F.explode(F.sequence(F.lit(0), F.lit(self.shards - 1))).alias("to"), "shard").where("to < shard").select("id", "item", F.col("to").alias("shard"))
-        found = self._search(q, nodes, self.config.ef_construction, self.config.ef_construction)
-        return found.where(F.col("distance") < self.config.proximity_threshold).select(F.col("query_id").alias("a"), F.col("ref_id").alias("b"), F.col("distance").alias("weight"))
+        found = self._search(q, nodes, None, self.config.ef_construction)
+        return found.select(F.col("query_id").alias("a"), F.col("ref_id").alias("b"), F.col("distance").alias("weight"))
 
-    def _search(self, queries: DataFrame, nodes: DataFrame, k: int, ef: int) -> DataFrame:
-        """Each query (id, item, shard) in its shard's graph. Shard, graph and queries of a slice meet in one task."""
+    def _search(self, queries: DataFrame, nodes: DataFrame, k: int | None, ef: int) -> DataFrame:
+        """Each query (id, item, shard) in its shard's graph; without k, all that is evaluated under the threshold. Shard, graph and queries of a slice meet in one task."""
         kernel, config = self.kernel, self.config
-        base = self.dealt.select("shard", F.col("id").alias("node"), F.col("item"), F.lit(-1).alias("layer"), F.lit(None).cast("array<long>").alias("neighbors"), F.lit(False).alias("entry"))
+        base = self.dealt.select("shard", F.col("id").alias("node"), F.col("item").alias("item"), F.lit(-1).alias("layer"), F.lit(None).cast("array<long>").alias("neighbors"), F.lit(False).alias("entry"))
         graph = base.unionByName(nodes.select("shard", "node", F.lit(None).cast(base.schema["item"].dataType).alias("item"), "layer", "neighbors", "entry"))
 
         def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-            rows = []
+            ids, rows = [], ([], [], [])
             if len(q) and len(g):
                 items = g[g["layer"] < 0].sort_values("node")
                 graph = Graph.of_rows(g[g["layer"] >= 0], items["node"].tolist(), items["item"].tolist(), kernel, config)
+                ids = graph.ids
                 for i, x in zip(q["id"], q["item"]):
-                    rows += [(i, graph.ids[j], d) for d, j in graph.search(kernel.load([x]), k, ef)]
-            return pd.DataFrame(rows, columns=["query_id", "ref_id", "distance"])
+                    x = kernel.load([x])
+                    found = graph.search_near(x, ef) if k is None else {j: d for d, j in graph.search(x, k, ef)}
+                    for column, values in zip(rows, ([i] * len(found), found.keys(), found.values())):
+                        column.append(np.fromiter(values, float if column is rows[2] else np.int64, len(found)))
+            query, ref, distance = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(rows, (np.int64, np.int64, float)))
+            return pd.DataFrame({"query_id": query, "ref_id": np.array(ids, np.int64)[ref], "distance": distance})
 
         return queries.groupBy("shard").cogroup(graph.groupBy("shard")).applyInPandas(run, "query_id long, ref_id long, distance double")
 

@@ -254,6 +254,21 @@ def test_index(spark, tmp_path):
     assert empty.search(items(spark, SEQS)).count() == 0 and len(empty.edges()) == 0
 
 
+def test_index_keeps_dense_groups_across_shards(spark):
+    """A group far larger than ef_construction, dealt over shards."""
+    r = np.random.default_rng(6)
+    vecs = (np.ones(6) + 0.05 * r.normal(size=(240, 6))).tolist() + (np.array([1, -1, 1, -1, 1, -1]) + 0.05 * r.normal(size=(20, 6))).tolist()
+    v = items(spark, vecs, "array<double>")
+    exact = {(a, b): w for a, b, w in proximity.exact_edges(KernelVariant.TanimotoReal, v, 0.4)}
+    config = HNSWConfig(proximity_threshold=0.4, ef_construction=16)
+    for rows in (1000, 90):
+        state = HNSWState(KernelVariant.TanimotoReal, v, config=config, shard_rows=rows).build()
+        assert state.shards == (1 if rows == 1000 else 3)
+        got = {(a, b): w for a, b, w in state.edges()}
+        assert all(exact[k] == pytest.approx(w) for k, w in got.items()) and len(got) >= 0.95 * len(exact)
+        assert state.search(v, k=3).count() == 3 * len(vecs)
+
+
 def test_edge_files(spark, tmp_path):
     s = store(spark, 6, [(0, 1, 0.5), (2, 3, 0.25)])
     for name in ("e.edgelist", "e.edgestr", "e.parquet"):
