@@ -66,7 +66,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
-    return read_back(format_conversations(rows.unionByName(extra)))
+    text = F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+    return read_back(format_conversations(rows.unionByName(extra).withColumn("parts", F.array(text)), parts_col="parts"))
 
 
 OP7_SQL = """
