@@ -17,7 +17,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z\[])[^>]*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![a-zA-Z][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|=\s*"[^"]*"|=\s*'[^']*'|["'])*+)>""", re.S)
+_TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z\[])[^>]*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![a-zA-Z][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>""", re.S)
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg math".split())

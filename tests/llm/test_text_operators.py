@@ -217,6 +217,16 @@ def test_extraction_keeps_the_article(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_quoted_values_may_hold_a_tag_end():
+    for q in ("\"", "'"):
+        for eq in ("=", " = "):
+            t = html_extract.parse(f"<body><a title{eq}{q}x > y{q} class=menu>link</a><p data-a=1 b = c>text</p></body>")
+            assert [x for x, tag in zip(t.text, t.tag) if tag is None] == ["link", "text"]
+            assert "class=menu" in t.attrs[t.tag.index("a")] and "b = c" in t.attrs[t.tag.index("p")]
+    t = html_extract.parse("<body><p title=\"x>open</p><p>next</p></body>")  # a quote that never ends
+    assert [x for x, tag in zip(t.text, t.tag) if tag is None] == ["open", "next"]
+
+
 def test_page_model_on_held_out_templates():
     model, right, n = html_extract.PageModel(html_extract.labelled_pages()), 0, 0
     for page in html_extract.labelled_pages(100, seed=1234):
