@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsplit.config import HNSWConfig, INWeightType, KernelVariant
 from kinsplit.functions import fingerprints as fp
 from kinsplit.operators import clusters, communities, proximity
 from kinsplit.operators.ann import HNSWState
 from kinsplit.operators.edges import EdgeStore
+from kinsplit.plans.ranking import numbered
 from kinsplit.plans.storage import materialize, shared_dir
 
 NEAR, KNN = 0.8, 5
@@ -137,7 +138,7 @@ def supply_strength(spark, d):
 
 
 def subgraph(spark, d):
-    kept = _table(spark, d, "embeddings").where("label <= 2").select(F.col("vec_id").alias("old_id"), (F.row_number().over(W.orderBy("vec_id")) - 1).cast("long").alias("new_id"))
+    kept = numbered(_table(spark, d, "embeddings").where("label <= 2").select(F.col("vec_id").alias("old_id")), "new_id", "old_id")
     g, _ = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement).subgraph(kept)
     return _rounded(g.store.edges, "weight")
 

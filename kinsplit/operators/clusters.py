@@ -5,20 +5,17 @@ from __future__ import annotations
 import math
 import struct
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinsplit.operators.components import star_forest
 from kinsplit.operators.graph import CsrGraph
+from kinsplit.plans.ranking import numbered
 from kinsplit.plans.storage import materialize
 
 
 def relabel(rooted: DataFrame) -> DataFrame:
-    """(id, root) to (id, cluster): roots numbered in order of their clusters' smallest ids.
-
-    The numbering ranks one row a cluster.
-    """
-    first = rooted.groupBy("root").agg(F.min("id").alias("first"))
-    number = first.select("root", (F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("cluster"))
+    """(id, root) to (id, cluster): roots numbered in order of their clusters' smallest ids."""
+    number = numbered(rooted.groupBy("root").agg(F.min("id").alias("first")), "cluster", "first").select("root", "cluster")
     return rooted.join(number, "root").select("id", "cluster")
 
 
@@ -58,8 +55,8 @@ def partition(clusters: DataFrame, graph: CsrGraph, test_ratio: float = 0.2, see
         raise ValueError("clusters must not be empty")
     if clusters.count() != graph.n or clusters.join(graph.vertices, "id").count() != graph.n:
         raise ValueError("clusters must have the graph's vertices")
-    order = W.orderBy(F.md5(F.concat(F.lit(f"{0 if seed is None else seed}:"), F.col("cluster").cast("string"))), "cluster")
-    chosen = numbers.withColumn("r", F.row_number().over(order)).where(F.col("r") <= test_count(test_ratio, k)).select("cluster")
+    ranked = numbered(numbers, "rank", F.md5(F.concat(F.lit(f"{0 if seed is None else seed}:"), F.col("cluster").cast("string"))), "cluster")
+    chosen = ranked.where(F.col("rank") < test_count(test_ratio, k)).select("cluster")
     test = clusters.join(chosen, "cluster", "left_semi").select("id")
     train = clusters.join(chosen, "cluster", "left_anti").select("id")
     if post_filtering:

@@ -152,15 +152,17 @@ def find_communities(graph: CsrGraph, gamma: float = 1.0, beta: float = 0.01, n_
         total = strengths.agg(F.sum("strength")).first()[0] or 0.0
         resolution = gamma / total if total else 0.0
     roots = materialize(star_forest(edges), "roots")
-    nodes = roots.join(strengths, F.col("node") == F.col("id")).select("root", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("strength").alias("w"))
-    rows = edges.join(roots, F.col("src") == F.col("node")).select("root", "src", "dst", "w").unionByName(nodes)
+    # a vertex is a row from itself to itself; no id is null, as pandas would make floats of them
+    nodes = roots.join(strengths, F.col("node") == F.col("id")).select("root", F.col("node").alias("src"), F.col("node").alias("dst"), F.col("strength").alias("w"))
+    rows = edges.where("src != dst").join(roots, F.col("src") == F.col("node")).select("root", "src", "dst", "w").unionByName(nodes)
     modular = objective is LeidenObjective.Modularity
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vertex = pdf[pdf["dst"].isna()].sort_values("src")
+        own = pdf["src"] == pdf["dst"]
+        vertex = pdf[own].sort_values("src")
         ids = vertex["src"].to_numpy()
-        e = pdf[pdf["dst"].notna()].sort_values(["src", "dst", "w"])
-        a, b = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy().astype(np.int64))
+        e = pdf[~own].sort_values(["src", "dst", "w"])
+        a, b = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
         mass = vertex["w"].tolist() if modular else [1.0] * len(ids)
         part = leiden(len(ids), a.tolist(), b.tolist(), e["w"].tolist(), mass, resolution, beta, n_iterations, seed + int(pdf["root"].iloc[0]))
         head: dict[int, int] = {}

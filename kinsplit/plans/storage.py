@@ -1,8 +1,8 @@
 """Intermediate tables in the shared folder of the cluster.
 
 An iterative plan is cut by writing a Parquet table below ``spark.checkpoint.dir``; every executor and the driver
-reach that folder, so losing an executor loses nothing. Only where the setting is absent (tests, local runs) is a
-folder of our own chosen.
+reach that folder, so losing an executor loses nothing. Only where the setting is absent and the master is local (tests, runs on
+one machine) is a folder of our own chosen; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder for intermediate tables: spark.checkpoint.dir, or a folder of this machine where Spark runs on it alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kinsplit-")
@@ -56,6 +58,17 @@ def release(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+def mark() -> int:
+    """A point in the sequence of written tables, for :func:`release_since`."""
+    return len(_WRITTEN)
+
+
+def release_since(point: int) -> None:
+    """Delete the tables written since ``point``; what was made of them has been written elsewhere."""
+    while len(_WRITTEN) > point:
+        _delete(*_WRITTEN.pop())
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -220,6 +220,27 @@ def test_communities(spark):
     assert communities.modularity(g, communities.find_communities(g)) > 0.5
 
 
+def test_communities_of_large_ids(spark):
+    edges = [(0, 1), (1, 2), (0, 2), (3, 4)]
+    for base in (1, (1 << 60) + 1):
+        v = spark.createDataFrame([(base + i,) for i in range(6)], "id long")
+        e = spark.createDataFrame([(base + a, base + b, 1.0) for a, b in edges], "src long, dst long, weight double")
+        g = EdgeStore(v, e).graph(INWeightType.Similarity)
+        got = {r["id"] - base: r["cluster"] for r in communities.find_communities(g).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 2}
+
+
+def test_numbers_follow_the_order(spark):
+    from kinsplit.plans.names import free
+    from kinsplit.plans.ranking import numbered
+
+    df = spark.range(5000).selectExpr("id * 7 % 5000 as v", "id as `_at`", "id as `a.b`").repartition(9)
+    got = numbered(df, "n", "v")
+    assert got.columns == ["v", "_at", "a.b", "n"] and got.where("n != v").count() == 0 and got.count() == 5000
+    assert numbered(df.limit(0), "n", "v").count() == 0
+    assert free(df, "_AT", "x", "x") == ["_AT_1", "x", "x_1"]
+
+
 def test_index(spark, tmp_path):
     r = np.random.default_rng(5)
     centres = r.normal(size=(8, 6))
