@@ -1,12 +1,15 @@
-"""Exact dedup: two passes over digests with a Bloom filter of possibly repeated ones.
+"""Exact dedup: two passes over digests with Bloom filters of possibly repeated ones.
 
-Pass 1 counts, in a blocked Bloom filter with two bits a slot ("seen" and "seen again"), the digests of all rows. The
-second plane alone is kept: a row whose slots are all set there may be repeated. In pass 2 only such rows shuffle (as
-narrow digests, or as documents when rows are dropped); the rest pass straight through. False positives cost a
-shuffled row and nothing else, so the result is whole whatever the filter's size.
+Pass 1 finds the possibly repeated hashes. Hashes are dealt by their bits into segments of bounded size, however many
+rows there are; a segment's task counts its hashes in a two-plane Bloom filter ("seen" and "seen again") and then asks
+that filter about each of them. A task sends a hash of its rows once a batch, so a hot text costs a few bytes.
 
-The filter has ``bits_per_row`` bits a row up to ``max_filter_bytes``, the proven bound of what is broadcast. Beyond
-the rows that this holds, every digest shuffles (about 1 % of the text), which is the plain form of the same grouping.
+Pass 2 asks about rows. The hashes that passed are put into one filter of at most ``max_filter_bytes``, the proven
+bound of what is broadcast: rows that it does not know pass straight through, all others shuffle (as narrow digests, or
+as documents when rows are dropped). The method is the same at any size. Where there are more repeated hashes than the
+filter holds well, it lets more rows through to the shuffle, which costs work and changes no result.
+
+Texts with very many copies (there can be few of them) are joined by broadcast, the others by shuffle.
 """
 
 from __future__ import annotations
@@ -15,71 +18,101 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from kinsplit.plans.names import column, columns, free
 from kinsplit.plans.storage import materialize
 
-SEGMENT = 1 << 20  # slots a segment; the slots of a row lie in one segment
+SEGMENT_ROWS = 1 << 17  # hashes a segment, about
 PROBES = 4
 FLUSH = 500_000
+CHUNK_BITS = 4096 * 8  # what bitmap_or_agg takes
+HOT_SHARE, HOT_LEAST = 1000, 100  # a group is hot from this share of all possibly repeated rows, and this many
 
 
-def _slots(h: np.ndarray, segments: int) -> np.ndarray:
-    """(rows, PROBES) global slot numbers."""
-    u = h.astype(np.int64).view(np.uint64)
-    seg = (u >> np.uint64(41)) % np.uint64(segments)
-    a, b = u & np.uint64(SEGMENT - 1), (u >> np.uint64(20)) | np.uint64(1)
+def _places(h: np.ndarray, slots: int) -> np.ndarray:
+    """(rows, PROBES) slots of a filter with ``slots`` slots, from bits that do not choose the segment."""
+    u = h.view(np.uint64)
+    a, b = (u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), (u >> np.uint64(7)) | np.uint64(1)
     i = np.arange(PROBES, dtype=np.uint64)
-    return (seg[:, None] * np.uint64(SEGMENT) + ((a[:, None] + i * b[:, None]) & np.uint64(SEGMENT - 1))).astype(np.int64)
+    return ((a[:, None] + i * b[:, None]) % np.uint64(slots)).astype(np.int64)
+
 
+def _dealt(segments: int):
+    """Distinct hashes of a task's rows by segment: those met once, and those met again."""
 
-def _first_pass(segments: int):
     def emit(hs: list[np.ndarray]):
-        slots, n = np.unique(_slots(np.concatenate(hs), segments), return_counts=True)
-        seg = slots // SEGMENT
-        cut = np.flatnonzero(np.diff(seg)) + 1
-        for s, c in zip(np.split(slots, cut), np.split(n, cut)):
-            yield int(s[0] // SEGMENT), ((s % SEGMENT) * 2 + (c > 1)).astype("<i4").tobytes()
+        h, n = np.unique(np.concatenate(hs), return_counts=True)
+        seg = (h.view(np.uint64) % np.uint64(segments)).astype(np.int64)
+        order = np.argsort(seg, kind="stable")
+        h, n, seg = h[order], n[order], seg[order]
+        for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(seg)) + 1):
+            once, again = h[part][n[part] == 1], h[part][n[part] > 1]
+            yield int(seg[part[0]]), once.tobytes(), again.tobytes()
 
     def run(batches):
         held, n = [], 0
         for pdf in batches:
-            held.append(pdf["h"].to_numpy())
+            held.append(pdf["h"].to_numpy(np.int64))
             n += len(pdf)
             if n >= FLUSH:
-                yield pd.DataFrame(list(emit(held)), columns=["seg", "slots"])
+                yield pd.DataFrame(list(emit(held)), columns=["seg", "once", "again"])
                 held, n = [], 0
         if n:
-            yield pd.DataFrame(list(emit(held)), columns=["seg", "slots"])
+            yield pd.DataFrame(list(emit(held)), columns=["seg", "once", "again"])
+
+    return run
+
+
+def _both_passes(slots: int):
+    """The hashes of a segment that its filter has seen again."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, again = np.zeros(slots, bool), np.zeros(slots, bool)
+        for single, repeated in zip(pdf["once"], pdf["again"]):
+            for raw, twice in ((single, False), (repeated, True)):
+                p = _places(np.frombuffer(raw, np.int64), slots).ravel()
+                p, n = np.unique(p, return_counts=True)
+                again[p] |= seen[p] | twice | (n > 1)
+                seen[p] = True
+        found = [h[again[_places(h, slots)].all(axis=1)] for raw in (*pdf["once"], *pdf["again"]) for h in [np.frombuffer(raw, np.int64)]]
+        return pd.DataFrame({"h": np.unique(np.concatenate(found))})
 
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once, again = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-    for raw in pdf["slots"]:
-        s = np.frombuffer(raw, "<i4")
-        p, twice = s >> 1, (s & 1).astype(bool)
-        again[p] |= once[p] | twice
-        once[p] = True
-    return pd.DataFrame({"seg": [pdf["seg"].iloc[0]], "bits": [np.packbits(again).tobytes()]})
+def _bitmaps(slots: int):
+    """(chunk, bits): the places of a task's hashes, as bitmaps that are or-ed together."""
+
+    def run(batches):
+        bits = np.zeros(slots, bool)
+        for pdf in batches:
+            bits[_places(pdf["h"].to_numpy(np.int64), slots).ravel()] = True
+        chunks = bits.reshape(-1, CHUNK_BITS)
+        for k in np.flatnonzero(chunks.any(axis=1)).tolist():
+            yield pd.DataFrame({"chunk": [k], "bits": [np.packbits(chunks[k], bitorder="little").tobytes()]})
+
+    return run
 
 
 def repeat_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20):
     """A probe Column -> Column (boolean: may be repeated) for the long column ``h`` of ``hashes``."""
-    segments = max(1, -(-rows * bits_per_row // SEGMENT))
-    if segments * SEGMENT // 8 > max_filter_bytes:
-        return lambda h: F.lit(True)
-    spark = hashes.sparkSession
-    parts = hashes.select("h").mapInPandas(_first_pass(segments), "seg int, slots binary").groupBy("seg").applyInPandas(_merge, "seg int, bits binary")
-    table = np.zeros(segments * (SEGMENT // 8), np.uint8)
+    segments = max(1, -(-rows // SEGMENT_ROWS))
+    dealt = hashes.select("h").mapInPandas(_dealt(segments), "seg long, once binary, again binary")
+    repeated = materialize(dealt.groupBy("seg").applyInPandas(_both_passes(SEGMENT_ROWS * bits_per_row), "h long"), "repeated")
+
+    n = repeated.count()
+    chunks = max(1, min(max_filter_bytes * 8, n * bits_per_row) // CHUNK_BITS + 1)
+    slots = chunks * CHUNK_BITS
+    parts = repeated.mapInPandas(_bitmaps(slots), "chunk int, bits binary").groupBy("chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+    table = np.zeros(slots // 8, np.uint8)
     for r in parts.toLocalIterator():
-        table[r["seg"] * (SEGMENT // 8) : (r["seg"] + 1) * (SEGMENT // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = spark.sparkContext.broadcast(table.tobytes())
+        table[r["chunk"] * (CHUNK_BITS // 8) : (r["chunk"] + 1) * (CHUNK_BITS // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
         bits = np.frombuffer(shared.value, np.uint8)
-        s = _slots(h.to_numpy(), segments)
-        return pd.Series(((bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).all(axis=1))
+        s = _places(h.to_numpy(np.int64), slots)
+        return pd.Series(((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1))
 
     return probe
 
@@ -91,35 +124,39 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as smallest: it stays only where all ids of its group are null. Rows equal in id and text are each marked kept
     (:func:`drop_exact_duplicates` leaves one). Other columns are not looked at. An empty table gives no rows.
     """
-    return _assign(*_digests(df, id_col, text_col, bits_per_row, max_filter_bytes)[:2])
-
-
-def _digests(df, id_col, text_col, bits_per_row, max_filter_bytes):
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
+    maybe, single, groups, _ = _grouped(df, id_col, text_col, bits_per_row, max_filter_bytes)
+    alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    # at most HOT_SHARE groups are hot, as together they hold no more than all rows: their join is a broadcast
+    limit = F.lit(max(HOT_LEAST, maybe.count() // HOT_SHARE))
+    hot = groups.where(F.col("group_size") > limit).select(F.col("text_sha256").alias("hot_sha"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
+    met = maybe.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot_sha"), "left")
+    large = met.where("hot_sha is not null").select("doc_id", F.col("hot_keep").alias("keep_id"), F.col("hot_size").alias("group_size"), "text_sha256")
+    small = met.where("hot_sha is null").select("doc_id", "text_sha256").join(groups.where(F.col("group_size") <= limit), "text_sha256")
+    return large.select(*cols).unionByName(small.select(*cols)).unionByName(alone)
+
+
+def _grouped(df, id_col, text_col, bits_per_row, max_filter_bytes):
+    """(rows that may be repeated, rows that are not, groups of the first, probe)."""
+    rows = df.select(column(id_col).alias("doc_id"), F.sha2(F.coalesce(column(text_col), F.lit("")), 256).alias("text_sha256"))
     rows = materialize(rows.withColumn("h", F.xxhash64("text_sha256")), "digests")
     probe = repeat_filter(rows, rows.count(), bits_per_row, max_filter_bytes)
     flagged = materialize(rows.select("doc_id", "text_sha256", probe(F.col("h")).alias("maybe")), "flagged")
-    return flagged.where("maybe").drop("maybe"), flagged.where("not maybe").drop("maybe"), probe
-
-
-def _assign(maybe: DataFrame, single: DataFrame) -> DataFrame:
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return maybe.join(groups, "text_sha256").select(*cols).unionByName(alone)
+    maybe, single = flagged.where("maybe").drop("maybe"), flagged.where("not maybe").drop("maybe")
+    groups = materialize(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return maybe, single, groups, probe
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """``df`` without all but the largest id of each group of equal texts (one of rows equal in id and text).
 
-    Documents whose digest cannot be repeated pass straight through; only the others meet the ids that stay.
+    Documents whose digest cannot be repeated pass straight through; only the others meet the ids that stay, by digest
+    and id together, so the copies of one text spread. Columns keep their names, whatever they are.
     """
-    maybe, _, probe = _digests(df, id_col, text_col, bits_per_row, max_filter_bytes)
-    stay = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("_k_id"))
-    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-    docs = df.withColumn("_k_sha", sha)
-    flag = probe(F.xxhash64("_k_sha"))
-    meets = docs.where(flag).join(stay.withColumnRenamed("text_sha256", "_k_of"), (F.col("_k_sha") == F.col("_k_of")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_k_id")))
-    meets = meets.dropDuplicates(["_k_sha", id_col] if "." not in id_col else ["_k_sha"]).select(*docs.columns)
-    return docs.where(~flag).unionByName(meets).drop("_k_sha")
+    _, _, groups, probe = _grouped(df, id_col, text_col, bits_per_row, max_filter_bytes)
+    sha, maybe, of, keep = free(df, "_sha", "_maybe", "_of", "_keep")
+    stay = groups.select(F.col("text_sha256").alias(of), F.col("keep_id").alias(keep))
+    docs = df.withColumn(sha, F.sha2(F.coalesce(column(text_col), F.lit("")), 256)).withColumn(maybe, probe(F.xxhash64(sha)))
+    meets = docs.where(maybe).join(stay, (F.col(sha) == F.col(of)) & column(id_col).eqNullSafe(F.col(keep)))
+    meets = meets.dropDuplicates([sha, keep])
+    return docs.where(~F.col(maybe)).select(*columns(df)).unionByName(meets.select(*columns(df)))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinsplit.operators.components import star_forest
+from kinsplit.plans.names import column, free
 from kinsplit.plans.storage import materialize, release
 
 BANDS, ROWS = 28, 5
@@ -452,5 +453,6 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with one document of each class: the row of its smallest id; rows with a null id stay."""
-    gone = near_groups(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone_col, = free(df, "_gone")
+    gone = near_groups(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone_col))
+    return df.join(gone, column(id_col) == F.col(gone_col), "left_anti")

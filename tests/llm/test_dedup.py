@@ -66,6 +66,32 @@ def test_exact_groups_match_brute_force(spark):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (top, len(ids), r["doc_id"] == top)
 
 
+def test_hot_groups_and_many_segments(spark, monkeypatch):
+    """However small segments and the filter are, and however large a group is, results are whole."""
+    monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 2}" if i % 3 == 1 else f"own {i}") for i in range(900)] + [(i + 5000, f"pair {i}") for i in range(0, 200, 7)]
+    sizes = {}
+    for i, t in rows:
+        sizes.setdefault(t, []).append(i)
+    for limit in (64 << 20, 0):
+        got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs(spark, rows).repartition(6), max_filter_bytes=limit).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(sizes[t]), len(sizes[t]), i == max(sizes[t]))
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_sha", "_SHA", "_maybe", "_of", "_keep", "_k_sha", "_gone", "a.b", "class_id", "key"]
+    df = spark.createDataFrame([(1, "a b", *names), (2, "a b", *names), (3, "c d", *names)], ["doc_id", "text", *names[:1], *names[2:]][:2] + ["_sha", "_sha_1", *names[2:]])
+    for drop, want in ((exact_dedup.drop_exact_duplicates, [2, 3]), (near_dedup.drop_near_duplicates, [1, 3])):
+        out = drop(df)
+        assert out.columns == df.columns
+        assert sorted(r["doc_id"] for r in out.collect()) == want
+        assert out.first()["a.b"] == "a.b" and out.first()["_sha"] == "_sha"
+
+
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_drop_exact_leaves_one_of_each_text(spark, limit):
     rows = [(i, f"t{i % 5}") for i in range(40)] + [(100, "t1"), (100, "t1"), (None, "t2"), (None, None), (3, "")]
