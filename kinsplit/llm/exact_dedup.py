@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from kinsplit.plans.hot import join_groups
 from kinsplit.plans.names import column, columns, free
 from kinsplit.plans.storage import materialize
 
@@ -25,7 +26,6 @@ SEGMENT_ROWS = 1 << 17  # hashes a segment, about
 PROBES = 4
 FLUSH = 500_000
 CHUNK_BITS = 4096 * 8  # what bitmap_or_agg takes
-HOT_SHARE, HOT_LEAST = 1000, 100  # a group is hot from this share of all possibly repeated rows, and this many
 
 
 def _places(h: np.ndarray, slots: int) -> np.ndarray:
@@ -127,13 +127,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe, single, groups, _ = _grouped(df, id_col, text_col, bits_per_row, max_filter_bytes)
     alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    # at most HOT_SHARE groups are hot, as together they hold no more than all rows: their join is a broadcast
-    limit = F.lit(max(HOT_LEAST, maybe.count() // HOT_SHARE))
-    hot = groups.where(F.col("group_size") > limit).select(F.col("text_sha256").alias("hot_sha"), F.col("keep_id").alias("hot_keep"), F.col("group_size").alias("hot_size"))
-    met = maybe.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot_sha"), "left")
-    large = met.where("hot_sha is not null").select("doc_id", F.col("hot_keep").alias("keep_id"), F.col("hot_size").alias("group_size"), "text_sha256")
-    small = met.where("hot_sha is null").select("doc_id", "text_sha256").join(groups.where(F.col("group_size") <= limit), "text_sha256")
-    return large.select(*cols).unionByName(small.select(*cols)).unionByName(alone)
+    return join_groups(maybe, groups, "text_sha256", "group_size", maybe.count()).select(*cols).unionByName(alone)
 
 
 def _grouped(df, id_col, text_col, bits_per_row, max_filter_bytes):

@@ -16,7 +16,14 @@ are done, and the next round takes the next pivot. So a large class takes linear
 pairs. Buckets that stay open after ``pivot_rounds`` mostly hold documents that share a frequent passage and little
 else. Their documents meet anew, exactly, on their rarest shingles: J_P of at least t means that the common shingles
 have at least the share t of either document's weight, so two such documents share one of the rarest shingles that
-make up more than 1 - t of each (a prefix filter). Classes that meet there are compared member by member, in blocks.
+make up more than 1 - t of each (a prefix filter).
+
+1 - J_P is a metric (the chance that a consistent sample differs). A large class therefore stands for itself by its
+stars, pivots with the members verified against them: a document at similarity s to a star's pivot can only be linked
+to members at similarity 1 - (t - s) or less to that pivot, so most documents are done after one comparison a star, on
+narrow pairs. Where members are left to compare, and in buckets of many documents of small classes, blocks of documents
+meet: each of k documents in such a bucket is sent once for every WIDE others, which is what an exact answer about
+documents that are all nearly alike and of no common class still costs.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinsplit.operators.components import star_forest
+from kinsplit.plans.hot import hot_limit, join_groups
 from kinsplit.plans.names import column, free
 from kinsplit.plans.storage import materialize, release
 
@@ -34,10 +42,11 @@ BANDS, ROWS = 28, 5
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C55
 SLAB = 4 << 20  # bytes of text hashed at a time
-PAIRS_PER_TASK = 1_000
+PAIRS_PER_TASK, MOST_TASKS = 2_000, 20_000
 SLOTS = 1 << 20  # counters that order shingles by frequency: 4 MB, whatever the input; any order gives whole results
 SEGMENT = 1 << 14
-BLOCK, PROBES = 250, 4_000  # documents held together, and documents compared with them, a task
+BLOCK, PROBES = 250, 4_000  # documents of a star held together, and documents compared with them, a task; classes over BLOCK are large
+WIDE = 1_000  # documents of a bucket held together
 FEW = 16  # documents of a bucket that are compared as pairs
 
 
@@ -280,71 +289,107 @@ def _rare_buckets(feats: DataFrame, threshold: float) -> DataFrame:
 def _verify(threshold: float):
     def run(batches):
         for batch in batches:
-            keep = []
+            keep, sims = [], []
             for i, (ha, wa, hb, wb) in enumerate(zip(*(batch.column(c) for c in ("ha", "wa", "hb", "wb")))):
                 a, b = (np.frombuffer(x.as_buffer(), "<u4") for x in (ha, hb))
                 if min(len(a), len(b)) == 0:
                     continue
                 aw, bw = (np.frombuffer(x.as_buffer(), "<u4") if len(x.as_buffer()) else None for x in (wa, wb))
-                if probability_jaccard(a, aw, b, bw) >= threshold:
+                sim = probability_jaccard(a, aw, b, bw)
+                if sim >= threshold:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("src", "dst")], ["src", "dst"])
+                    sims.append(sim)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("src", "dst")), pa.array(sims, pa.float64())], ["src", "dst", "sim"])
 
     return run
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(bucket, id, root) of the buckets whose members are of more than one class."""
+def _verified(pairs: DataFrame, n_pairs: int, feats: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, sim) of the pairs (src, dst) with J_P of at least ``threshold``.
+
+    The number of tasks follows the pairs. A src of very many pairs is salted: its features go to several tasks.
+    """
+    tasks = min(MOST_TASKS, max(12, -(-n_pairs // PAIRS_PER_TASK)))
+    limit = hot_limit(n_pairs)
+    hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("src", F.ceil(F.col("n") / limit).alias("salts"))
+    hot = materialize(hot, "hot", 1000)
+    a = feats.select(F.col("id").alias("src"), F.col("hs").alias("ha"), F.col("ws").alias("wa")).join(F.broadcast(hot), "src", "left")
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    b = feats.select(F.col("id").alias("dst"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
+    on = pairs.select("src", "dst").repartition(tasks, "dst").join(b.repartition(tasks, "dst"), "dst").join(F.broadcast(hot), "src", "left")
+    on = on.withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    both = on.repartition(tasks, "src", "salt").join(a.repartition(tasks, "src", "salt"), ["src", "salt"])
+    return materialize(both.mapInArrow(_verify(threshold), "src long, dst long, sim double"), "links")
+
+
+def _opened(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
+    """(bucket, id, root, pivot, p_root) of the buckets whose members are of more than one class, and the number of rows."""
     if roots is None:
-        return members.withColumn("root", F.col("id"))
-    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    many = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    return placed.join(many, "bucket")
+        placed = members.withColumn("root", F.col("id"))
+    else:
+        placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "root")).alias("p"), F.min("root").alias("a"), F.max("root").alias("b"))
+    groups = materialize(groups.where("a < b").select("bucket", "n", F.col("p.id").alias("pivot"), F.col("p.root").alias("p_root")), "open")
+    size = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    on = materialize(join_groups(placed, groups, "bucket", "n", size).select("bucket", "id", "root", "pivot", "p_root"), "buckets", size)
+    release(groups)
+    return on, size
 
 
-def _rest_links(left: DataFrame, size: int, roots: DataFrame | None, feats: DataFrame, threshold: float) -> DataFrame:
-    """Links between the documents of buckets that stay open, found exactly.
+def _rest_links(on: DataFrame, size: int, feats: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst, sim) of links between the documents of buckets that stay open, found exactly.
 
-    Documents that share a rare shingle are compared, in one of three ways that each send a number of rows in
-    proportion to the documents: against a large class, block by block; within a large bucket, block against block;
-    and within a bucket of a few documents, as pairs. Tasks hold BLOCK documents of either side and count common
-    shingles through the block's index.
+    ``links``: what has been verified so far, which makes the stars. Documents that share a rare shingle are compared
+    with the stars of large classes, then with those of their members that the metric lets through; buckets of a few
+    documents of small classes are compared as pairs, larger ones block against block.
     """
-    ids = _open_buckets(left, roots).select("id", "root").distinct()
-    rest = materialize(feats.join(ids, "id"), "rest", size)
-    sizes = rest.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    classes = rest.select("id", "root").join(sizes, "root").select("id", "root", "n")
-    tokens = materialize(_rare_buckets(rest.select("id", "hs", "ws"), threshold).join(classes, "id"), "tokens")
-
-    # large classes and all that meet them
-    by_class = tokens.select("bucket", "root", "n").distinct()
-    large = by_class.where(F.col("n") > BLOCK).select("bucket", F.col("root").alias("big"), F.col("n").alias("n_big"))
-    met = large.join(by_class.select("bucket", F.col("root").alias("small"), "n"), "bucket")
-    met = met.where((F.col("big") != F.col("small")) & ((F.col("n_big") > F.col("n")) | ((F.col("n_big") == F.col("n")) & (F.col("big") < F.col("small")))))
-    met = materialize(met.select("big", "small", "n_big", "n").distinct(), "met", size)
-    plan = met.groupBy("big").agg(F.ceil(F.first("n_big") / BLOCK).alias("blocks"), F.ceil(F.sum("n") / PROBES).alias("slices"))
-    probes = rest.join(met.select("big", "small"), F.col("root") == F.col("small")).select("big", "id", "root", "hs", "ws").join(plan, "big")
-    probes = probes.select("big", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "root", "hs", "ws")
-    held = rest.join(plan, F.col("root") == F.col("big")).select(F.col("big").alias("h_big"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("h_block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("h_slice"), F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws"))
-    links = probes.groupBy("big", "block", "slice").cogroup(held.groupBy("h_big", "h_block", "h_slice")).applyInPandas(_compare(threshold), "src long, dst long")
+    ids = on.select("id", "root").distinct()
+    home = links.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("sim", "src")).alias("m")).select("id", F.col("m.src").alias("star"), (1 - F.col("m.sim")).alias("r"))
+    places = ids.join(home, "id", "left").select("id", "root", F.coalesce("star", "id").alias("star"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    places = materialize(places, "places", size)
+    rest = materialize(feats.join(places, "id"), "rest", size)
+    sizes = places.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    tokens = materialize(_rare_buckets(rest.select("id", "hs", "ws"), threshold).join(places.join(sizes, "root").drop("r"), "id"), "tokens")
+
+    # large classes and all that meet them: first the pivots of their stars, then the members that are far enough from those
+    large = tokens.where(F.col("n") > BLOCK).select("bucket", F.col("root").alias("big"), F.col("n").alias("n_big"), "star").distinct()
+    met = large.join(tokens.select("bucket", F.col("id").alias("dst"), "root", "n"), "bucket")
+    met = met.where((F.col("big") != F.col("root")) & ((F.col("n_big") > F.col("n")) | ((F.col("n_big") == F.col("n")) & (F.col("big") < F.col("root")))))
+    met = materialize(met.select(F.col("star").alias("src"), "dst").distinct(), "met", size)
+    sims = _verified(met, met.count(), feats, 2 * threshold - 1 - 1e-9)
+    found = [sims.where(F.col("sim") >= threshold)]
+    probes = sims.where(F.col("sim") < threshold).groupBy("src", "dst").agg(F.max("sim").alias("sim")).select(F.col("src").alias("star"), F.col("dst").alias("id"), (threshold - F.col("sim") - 1e-9).alias("need"))
+    probes = materialize(probes, "probes", size)
+    least = probes.groupBy("star").agg(F.min("need").alias("least"), F.ceil(F.count(F.lit(1)) / PROBES).alias("slices"))
+    held = rest.join(least, "star").where(F.col("r") >= F.col("least"))
+    plan = held.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.first("slices").alias("slices"))
+    plan = materialize(plan, "plan", size)
+    probes = probes.join(plan, "star").join(rest.select("id", "root", "hs", "ws"), "id")
+    probes = probes.select("star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "root", "hs", "ws", "need")
+    held = held.drop("slices").join(plan, "star").select(F.col("star").alias("h_star"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("h_block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("h_slice"), F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws"), F.col("r").alias("h_r"))
+    found.append(probes.groupBy("star", "block", "slice").cogroup(held.groupBy("h_star", "h_block", "h_slice")).applyInPandas(_compare(threshold), "src long, dst long, sim double"))
 
     # buckets of small classes
     small = tokens.where(F.col("n") <= BLOCK).select("bucket", "id", "root")
     counts = small.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket", "k")
-    small = materialize(small.join(counts, "bucket"), "small")
+    counts = materialize(counts, "counts")
+    n_small = counts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    small = materialize(join_groups(small, counts, "bucket", "k", n_small), "small")
     few = small.where(F.col("k") <= FEW)
     pairs = few.join(few.select("bucket", F.col("id").alias("dst"), F.col("root").alias("d_root")), "bucket").where("id < dst and root != d_root").select(F.col("id").alias("src"), "dst").distinct()
     pairs = materialize(pairs, "pairs", size * FEW)
-    sides = [rest.select(F.col("id").alias(c), F.col("hs").alias("h" + x), F.col("ws").alias("w" + x)) for c, x in (("src", "a"), ("dst", "b"))]
-    links = links.unionByName(pairs.join(sides[0], "src").join(sides[1], "dst").mapInArrow(_verify(threshold), "src long, dst long"))
+    found.append(_verified(pairs, pairs.count(), feats, threshold))
 
-    many = small.where(F.col("k") > FEW).withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    many = small.where(F.col("k") > FEW).withColumn("blocks", F.ceil(F.col("k") / WIDE)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     first = many.select("bucket", F.col("own").alias("bi"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("bj"), "id")
     second = many.select(F.col("bucket").alias("h_bucket"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("h_bi"), F.col("own").alias("h_bj"), F.col("id").alias("h_id"))
-    first = first.join(rest, "id")
-    second = second.join(rest.select(F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws")), "h_id")
-    links = links.unionByName(first.groupBy("bucket", "bi", "bj").cogroup(second.groupBy("h_bucket", "h_bi", "h_bj")).applyInPandas(_compare(threshold), "src long, dst long"))
-    return materialize(links, "links")
+    first = first.join(rest.select("id", "root", "hs", "ws", F.lit(0.0).alias("need")), "id")
+    second = second.join(rest.select(F.col("id").alias("h_id"), F.col("root").alias("h_root"), F.col("hs").alias("h_hs"), F.col("ws").alias("h_ws"), F.lit(1.0).alias("h_r")), "h_id")
+    found.append(first.groupBy("bucket", "bi", "bj").cogroup(second.groupBy("h_bucket", "h_bi", "h_bj")).applyInPandas(_compare(threshold), "src long, dst long, sim double"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return materialize(out, "links")
 
 
 def _compare(threshold: float):
@@ -357,8 +402,8 @@ def _compare(threshold: float):
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            ids, classes = held["h_id"].to_numpy(), held["h_root"].to_numpy()
-            for i, root, x, w in zip(probes["id"], probes["root"], probes["hs"], probes["ws"]):
+            ids, classes, reach = held["h_id"].to_numpy(), held["h_root"].to_numpy(), held["h_r"].to_numpy()
+            for i, root, x, w, need in zip(probes["id"], probes["root"], probes["hs"], probes["ws"], probes["need"]):
                 h = np.frombuffer(x, "<u4")
                 w = np.frombuffer(w, "<u4") if len(w) else None
                 lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
@@ -368,11 +413,14 @@ def _compare(threshold: float):
                 common = np.bincount(owner[at], weights=np.repeat(mass, n), minlength=len(sets))
                 done = set()
                 # J_P is at most the common share of the document's weight
-                for k in np.flatnonzero((common >= threshold * mass.sum() - 1e-6) & (classes != root)).tolist():
-                    if classes[k] not in done and probability_jaccard(h, w, sets[k], weights[k]) >= threshold:
-                        found.append((int(i), int(ids[k])))
+                for k in np.flatnonzero((common >= threshold * mass.sum() - 1e-6) & (classes != root) & (reach >= need)).tolist():
+                    if classes[k] in done:
+                        continue
+                    sim = probability_jaccard(h, w, sets[k], weights[k])
+                    if sim >= threshold:
+                        found.append((int(i), int(ids[k]), sim))
                         done.add(classes[k])  # further links to the same class say no more
-        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame({"src": np.array([f[0] for f in found], np.int64), "dst": np.array([f[1] for f in found], np.int64), "sim": np.array([f[2] for f in found], float)})
 
     return run
 
@@ -383,7 +431,7 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     if not n:
         return roots
     if roots is None:
-        return materialize(star_forest(links, rows=n).select(F.col("node").alias("id"), "root"), "roots", 2 * n)
+        return materialize(star_forest(links.select("src", "dst"), rows=n).select(F.col("node").alias("id"), "root"), "roots", 2 * n)
     ends = links.join(roots.select(F.col("id").alias("src"), F.col("root").alias("rs")), "src", "left").join(roots.select(F.col("id").alias("dst"), F.col("root").alias("rd")), "dst", "left")
     ends = materialize(ends.select(F.coalesce("rs", "src").alias("src"), F.coalesce("rd", "dst").alias("dst")), "links", n)
     moved = materialize(star_forest(ends, rows=n).select("node", F.col("root").alias("to")), "moved", 2 * n)
@@ -393,66 +441,81 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = BANDS, band_rows: int = ROWS, pivot_rounds: int = 2) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept (the row is that id's).
+    """One row per document: doc_id, class_id (smallest id of its class), class_size, kept (the row is that id's), class_links.
 
-    Null counts as empty text; texts without words are equal to one another only. Rows with a null id are kept, in no
-    class (class_id null, size 1). An id that occurs with several texts puts them in one class.
+    ``class_links`` counts the links between different texts that were verified to make the class; that is at least
+    enough to connect it, and not every link there is. Null counts as empty text; texts without words are equal to one
+    another only. Rows with a null id are kept, in no class (class_id null, size 1). An id that occurs with several
+    texts puts them in one class; equal rows all stay rows. Whole texts are read, of any length. Other columns are not
+    looked at, so their names do not matter. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # long documents: bounds a batch's bytes
-    text = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "500")  # long documents: bounds a batch's bytes; every task in Python has run on return
+    try:
+        return _near_groups(df, id_col, text_col, threshold, shingle, bands, band_rows, pivot_rounds)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, band_rows: int, pivot_rounds: int) -> DataFrame:
+    docs = df.select(column(id_col).cast("long").alias("id"), F.lower(F.coalesce(column(text_col), F.lit(""))).alias("text"))
     scanned = docs.where("id is not null").select("id", F.md5("text").alias("key"), "text")
     rows = materialize(scanned.mapInArrow(_signatures(bands, band_rows, shingle), "id long, key string, has boolean, keys array<long>"), "signatures")
     total = rows.count()
     nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes", total)
 
     heads = rows.where("has").join(nodes.select(F.col("key").alias("_key"), "node"), (F.col("key") == F.col("_key")) & (F.col("id") == F.col("node"))).dropDuplicates(["key"])
-    members = materialize(heads.select("id", F.explode("keys").alias("bucket")), "members")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = materialize(members.join(shared.select("bucket"), "bucket").distinct(), "buckets", total * bands // 4)
-    release(members)
+    members = materialize(heads.select("id", "key", F.explode("keys").alias("bucket")), "members")
+    on, size = _opened(members.select("bucket", "id"), None)
 
-    wanted = left.select(F.col("id").alias("_id")).distinct()
-    feats = docs.join(wanted, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
-    feats = materialize(feats.select("id", "text").mapInArrow(_features(shingle), "id long, hs binary, ws binary"), "features")
+    # features of each head in an open bucket, once a text: an id may be the head of several
+    wanted = members.join(on.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    texts = scanned.join(wanted, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["id", "key"])
+    feats = materialize(texts.select("id", "text").mapInArrow(_features(shingle), "id long, hs binary, ws binary"), "features")
+    release(members)
 
-    roots = None
-    size = left.count()
-    for k in range(pivot_rounds):
+    roots, links = None, feats.sparkSession.createDataFrame([], "src long, dst long, sim double")
+    several = rows.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("id")
+    of_one_id = rows.join(several, "id").join(nodes.select("key", "node"), "key").groupBy("id").agg(F.collect_set("node").alias("nodes"))
+    ties = of_one_id.select(F.array_min("nodes").alias("src"), F.explode("nodes").alias("dst")).where("src != dst").distinct()
+    roots = _joined(roots, materialize(ties, "ties"))
+    for _ in range(pivot_rounds):
         if not size:
             break
-        placed = materialize(_open_buckets(left, roots), "placed", size)
-        pivot = placed.groupBy("bucket").agg(F.min(F.struct("id", "root")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.root").alias("p_root"))
-        on = placed.join(pivot, "bucket")
         pairs = materialize(on.where("id != pivot and root != p_root").select(F.col("pivot").alias("src"), F.col("id").alias("dst")).distinct(), "pairs", size)
         n_pairs = pairs.count()
         if n_pairs:
-            a = feats.select(F.col("id").alias("src"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
-            b = feats.select(F.col("id").alias("dst"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
-            both = pairs.join(b, "dst").join(a, "src").coalesce(max(12, -(-n_pairs // PAIRS_PER_TASK)))
-            roots = _joined(roots, materialize(both.mapInArrow(_verify(threshold), "src long, dst long"), "links"))
-        left = materialize(on.where("id != pivot").select("bucket", "id"), "buckets", size)
-        release(placed, pairs)
-        size = left.count()
+            new = _verified(pairs, n_pairs, feats, threshold)
+            roots, links = _joined(roots, new), links.unionByName(new)
+        left, last = on.where("id != pivot").select("bucket", "id"), on
+        on, size = _opened(left, roots)
+        release(pairs, last)
     if size:
-        roots = _joined(roots, _rest_links(left, size, roots, feats, threshold))
+        new = _rest_links(on, size, feats, links, threshold)
+        roots, links = _joined(roots, new), links.unionByName(new)
 
     label = nodes.select("key", "node", "n")
     if roots is not None:
+        counted = links.select("src", "dst").distinct().join(roots, F.col("src") == F.col("id")).groupBy(F.col("root").alias("l_root")).agg(F.count(F.lit(1)).alias("class_links"))
         label = label.join(roots, F.col("node") == F.col("id"), "left").select("key", F.coalesce("root", "node").alias("class_id"), "n")
+        label = label.join(counted, F.col("class_id") == F.col("l_root"), "left").select("key", "class_id", "n", F.coalesce("class_links", F.lit(0).cast("long")).alias("class_links"))
     else:
-        label = label.select("key", F.col("node").alias("class_id"), "n")
+        label = label.select("key", F.col("node").alias("class_id"), "n", F.lit(0).cast("long").alias("class_links"))
     label = materialize(label, "classes")
     sizes = label.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    label = label.join(sizes, "class_id").select(F.col("key").alias("_key"), "class_id", "class_size")
-    out = rows.select("id", "key").join(label, F.col("key") == F.col("_key")).select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
-    none = docs.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    label = materialize(label.join(sizes, "class_id"), "labels")
+    out = join_groups(rows.select("id", "key"), label, "key", "n", total)
+    out = out.select(F.col("id").alias("doc_id"), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"), "class_links")
+    none = docs.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("class_links"))
     return out.unionByName(none)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each class: the row of its smallest id; rows with a null id stay."""
+    """``df`` with one document of each class: the row of its smallest id; rows with a null id stay.
+
+    Rows that share an id stay or go together. Columns keep their names, whatever they are.
+    """
     gone_col, = free(df, "_gone")
     gone = near_groups(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone_col))
     return df.join(gone, column(id_col) == F.col(gone_col), "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from kinsplit.llm import exact_dedup, near_dedup
+from kinsplit.plans import hot
 from kinsplit.llm.near_dedup import BANDS, ROWS, Shingler, _weighted, probability_jaccard, probminhash
 
 SCHEMA = "doc_id long, text string, keep_id string, n int"
@@ -69,8 +70,8 @@ def test_exact_groups_match_brute_force(spark):
 def test_hot_groups_and_many_segments(spark, monkeypatch):
     """However small segments and the filter are, and however large a group is, results are whole."""
     monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", 50)
-    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 20)
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    monkeypatch.setattr(hot, "LEAST", 20)
+    monkeypatch.setattr(hot, "SHARE", 4)
     rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 2}" if i % 3 == 1 else f"own {i}") for i in range(900)] + [(i + 5000, f"pair {i}") for i in range(0, 200, 7)]
     sizes = {}
     for i, t in rows:
@@ -197,6 +198,50 @@ def test_near_groups_match_brute_force(spark):
     assert all(got[i]["class_size"] == sizes[want[i]] for i in want)
 
 
+def test_large_classes_are_compared_through_their_stars(spark, monkeypatch):
+    """Chains of near copies around a shared passage, with every class large and every bucket wide: still exact."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "PROBES", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", 5)
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    rows, passage = [], text_of(77, 150)
+    for family in range(4):
+        own = text_of(300 + family, 40)
+        for k in range(14):
+            rows.append((family * 100 + k, passage + " " + edited(own, k, family * 50 + k)))
+    rows += [(1000 + k, edited(passage, 1 + k % 9, k)) for k in range(20)]
+    want = brute_classes(rows)
+    for rounds in (0, 1, 2):
+        got = {r["doc_id"]: r for r in near_dedup.near_groups(docs(spark, rows), pivot_rounds=rounds).collect()}
+        assert {i: r["class_id"] for i, r in got.items()} == want
+        assert all(r["class_links"] >= r["class_size"] - 1 for r in got.values())
+
+
+def test_distance_is_a_metric():
+    """What the stars rest on."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        bags = [(np.sort(r.choice(12, r.integers(1, 12), replace=False)).astype(np.uint32), None) for _ in range(3)]
+        bags = [(h, r.integers(1, 6, len(h)).astype(np.uint32)) for h, _ in bags]
+        d = lambda i, j: 1 - probability_jaccard(*bags[i], *bags[j])
+        assert d(0, 2) <= d(0, 1) + d(1, 2) + 1e-12
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = text_of(1), text_of(2), text_of(3)
+    rows = [(1, a), (1, b), (1, b), (2, edited(a, 1, 5)), (3, edited(b, 1, 6)), (4, c), (5, edited(c, 1, 7)), (6, b), (7, c), (7, text_of(9))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dedup.near_groups(docs(spark, rows)).collect())
+    assert got == sorted([(i, 1, 6) for i in (1, 1, 1, 2, 3, 6)] + [(i, 4, 4) for i in (4, 5, 7, 7)])
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_very_long_texts_are_near_copies(spark):
+    long = text_of(5, 30_000)
+    rows = [(1, long), (2, edited(long, 400, 1)), (3, text_of(6, 30_000))]
+    assert sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_groups(docs(spark, rows)).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_near_groups_of_one_hot_class(spark):
     """Copies of one text with few links through any single pivot."""
     base = text_of(1, 200)
