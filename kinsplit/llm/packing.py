@@ -14,8 +14,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinsplit.plans.names import column
 from kinsplit.plans.storage import materialize
 
 PART_ROWS = 40_000  # pieces a partition
@@ -47,10 +49,15 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The best of the volume bound, the thresholds' bound (large pieces alone, middle ones by volume) and rounding dual-feasible functions."""
-    if not len(sizes):
-        return 0
-    hist = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    """Bins that pieces of these sizes need at least."""
+    return lower_bound_of_counts(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def lower_bound_of_counts(hist: np.ndarray, capacity: int) -> int:
+    """The best of the volume bound, the thresholds' bound (large pieces alone, middle ones by volume) and rounding dual-feasible functions.
+
+    ``hist``: pieces by size, 0 to ``capacity``.
+    """
     x = np.arange(capacity + 1, dtype=np.int64)
     count, volume = np.concatenate([[0], np.cumsum(hist)]), np.concatenate([[0], np.cumsum(hist * x)])
     best = -(-int(volume[-1]) // capacity)
@@ -123,21 +130,25 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, token
     def run(batches):
         ids = _Ids(tokenizer_path, ranks_path)
         end = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+        for batch in batches:
+            at, pieces, starts, lengths, crcs = [], [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = ids.of(text or "") + end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
                     length = first if piece == 0 else capacity
-                    rows.append((doc, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    at.append(row)
+                    pieces.append(piece)
+                    starts.append(start)
+                    lengths.append(length)
+                    crcs.append(zlib.crc32(raw[4 * start : 4 * (start + length)]))
+            # ids stay Arrow values: next to a null, pandas would make floats of them
+            doc_id = batch.column("doc_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(pieces, pa.int32()), *(pa.array(c, pa.int64()) for c in (starts, lengths, crcs))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- packing
@@ -171,8 +182,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     n = pieces.count()
     groups = max(1, -(-n // PART_ROWS))
     todo = pieces.select("row", "length", F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    done = None
-    for k in range(100):
+    done, k = None, -1
+    while True:
+        k += 1
         key = F.pmod(F.xxhash64("row"), F.lit(groups)) if k == 0 else F.pmod(F.shiftright(F.col("bin").bitwiseAND(F.lit((1 << 56) - 1)), 28), F.lit(groups))
         made = todo.withColumn("g", key.cast("int")).groupBy("g").applyInPandas(_packer(capacity, k), _COLUMNS)
         made = materialize(made, "packed")
@@ -182,19 +194,28 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         if last:
             return done
         todo, groups = made.where("open").drop("open"), -(-groups // FAN_IN)
-    return done
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, ranks_path: str | None = None, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences.
 
     A document's ids end with id 0; an empty or null text is that id alone. Only documents longer than ``capacity``
-    are cut, and their first piece may be shorter. Rows with equal or null ids are packed one by one like others.
+    are cut, and their first piece may be shorter; texts are read whole, of any length. Rows with equal or null ids are
+    packed one by one like others, and ids of any size stay exact. Other columns are not looked at, whatever their
+    names. An empty table gives no rows. ``n_sequences`` is how many sequences were made of all pieces, and
+    ``least_sequences`` the certified bound that none can do with fewer of.
     """
     pieces = token_pieces(df, id_col, text_col, capacity, tokenizer_path, ranks_path)
     pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     packed = pack(pieces.where(F.col("length") < capacity).select("row", "length"), capacity)
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a length, capacity at most
+        counts[r["length"]] = r["n"]
+    full = int(counts[capacity])
+    counts[capacity] = 0
+    made, least = packed.select("bin").distinct().count() + full, lower_bound_of_counts(counts, capacity) + full
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     some = pieces.where(F.col("length") < capacity).join(packed.select("row", F.col("bin").alias("sequence_id"), "offset"), "row")
-    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("row") - 1).withColumn("offset", F.lit(0).cast("long"))
-    return some.select(*cols).unionByName(full.select(*cols))
+    whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -F.col("row") - 1).withColumn("offset", F.lit(0).cast("long"))
+    out = some.select(*cols).unionByName(whole.select(*cols))
+    return out.withColumn("n_sequences", F.lit(made).cast("long")).withColumn("least_sequences", F.lit(least).cast("long"))

@@ -63,6 +63,7 @@ def test_packing_is_gapless_whole_and_tight(spark, monkeypatch):
             at += n
         assert at <= cap
     sizes = np.array([r["length"] for r in got])
+    assert {(r["n_sequences"], r["least_sequences"]) for r in got} == {(len(bins), packing.lower_bound(sizes[sizes < cap], cap) + int((sizes == cap).sum()))}
     assert len(bins) <= packing.lower_bound(sizes, cap) * 1.03 + 2
     assert packing.pack_documents(docs(spark, []), *PATHS).count() == 0
 
