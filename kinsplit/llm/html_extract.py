@@ -14,10 +14,14 @@ import random
 import re
 from html import unescape
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from kinsplit.plans.names import column
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/](?![a-zA-Z\[])[^>]*>|<!\[CDATA\[.*?(?:\]\]>|\Z)|<![a-zA-Z][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>""", re.S)
+_OPENS = re.compile(r"<[!?/a-zA-Z]")
+DEPTH = 512  # elements below this many open ones are siblings, as in browsers: no page takes more than linear time
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp noscript template svg math".split())
@@ -49,7 +53,10 @@ class Tree:
 
 
 def parse(html: str) -> Tree:
-    """The tree of a page. Omitted end tags are supplied, unmatched ones ignored, comments and raw elements left out."""
+    """The tree of a page. Omitted end tags are supplied, unmatched ones ignored, comments and raw elements left out.
+
+    From a tag that never ends, the rest of the page is text.
+    """
     t = Tree()
     open_, names = [0], {"html": 1}
     block, at, end = 0, 0, len(html)
@@ -76,7 +83,12 @@ def parse(html: str) -> Tree:
                 return
 
     while at < end:
-        m = _TOKEN.search(html, at)
+        m, look = None, at
+        while m is None and (look := html.find("<", look)) >= 0:
+            m = _TOKEN.match(html, look)
+            if m is None and _OPENS.match(html, look):  # it has no end, and what comes after lies inside it
+                break
+            look += 1
         if m is None:
             text(html[at:])
             break
@@ -112,8 +124,9 @@ def parse(html: str) -> Tree:
             if name in VOID:
                 continue
             node = t.add(name, attrs, open_[-1], "", block)
-            open_.append(node)
-            names[name] = names.get(name, 0) + 1
+            if len(open_) < DEPTH:
+                open_.append(node)
+                names[name] = names.get(name, 0) + 1
     return t
 
 
@@ -256,16 +269,18 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars. Null or empty html gives empty text; repeated rows all stay."""
+    """One row per page: page_id, url, text, n_chars.
+
+    Null or empty html gives empty text; pages are read whole, in time linear in their length. Repeated rows all stay,
+    with null and large ids as they are. Other columns are not looked at, whatever their names. An empty table gives
+    no rows.
+    """
     model = PageModel(labelled_pages())
 
     def run(batches):
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["text"] = [extract(h, model) for h in pdf.pop("html")]
-            pdf["n_chars"] = pdf["text"].str.len().astype("int64")
-            pdf["page_id"] = pd.array(pdf["page_id"], dtype="Int64")
-            yield pdf[["page_id", "url", "text", "n_chars"]]
-
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+        for batch in batches:
+            texts = [extract(h, model) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    rows = df.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html"))
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
