@@ -4,8 +4,10 @@ Base findings are three kinds of spans by pattern. On top of them, weak parts ar
 secret values and endpoints, none of which says much by itself. Parts are intervals; so is the scope of each secret: its
 line and SCOPE_LINES lines either way, within its block (blocks are parted by blank lines). Joining parts with the
 scopes that hold them puts complementary parts together, and a weak secret is reported only where its scope also has an
-identifier, a base finding or an endpoint (for a value that is a piece of an endpoint itself, one that asks for
-credentials); the identifiers and endpoints that it is linked to are reported with it. Parts and scopes are both in order, so the join is one sweep over a text.
+identifier, a base finding or an endpoint; the identifiers and endpoints that it is linked to are reported with it.
+Any endpoint completes an opaque value (OPAQUE characters or more, digits and letters of both cases). Shorter values,
+those of one case, and pieces of an endpoint itself are weaker: they take an identifier, a base finding or an endpoint
+that asks for credentials. Parts and scopes are both in order, so the join is one sweep over a text.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from kinsplit.plans.names import column
 
 # The base kinds in their order, with their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -26,9 +30,10 @@ LEAST_VALUE = 6
 
 # Weak parts.
 _ID = re.compile(r"""(?:client_?id|account_?id|access_?id|key_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+")
-_DIGIT, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+_DIGIT, _LETTER, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+OPAQUE = 32
 _BLANK, _FEED = re.compile(r"\n[ \t\r]*\n"), re.compile(r"\n")
 SCOPE_LINES = 20
 
@@ -65,7 +70,7 @@ def _others(within: tuple[int, int], covered: tuple[int, int]) -> bool:
 
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of weak parts that complement one another or a base finding within a secret's scope."""
-    secrets = [(m.start(), m.end()) for m in _VALUE.finditer(text) if _DIGIT.search(m[0]) and _UPPER.search(m[0]) and _LOWER.search(m[0])]
+    secrets = [(m.start(), m.end()) for m in _VALUE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
     if not secrets:
         return []
     taken = [(s, e) for s, _, e in base]
@@ -85,8 +90,9 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     for (s, e), (a, b) in zip(inside, scopes(text, [s for s, _ in inside])):
         covered = (bisect_right(ids, s, key=_end), bisect_left(ids, (e,)))  # an identifier does not complement itself
         within = [(bisect_left(parts, (a,)), bisect_left(parts, (b,))) for parts in (ids, ends, asking, strong)]
-        apart = bisect_right(ends, s, key=_end) == bisect_left(ends, (e,))  # a piece of an endpoint takes more than others
-        if _others(within[0], covered) or any(i < j for i, j in within[1 if apart else 2 :]):
+        apart = bisect_right(ends, s, key=_end) == bisect_left(ends, (e,))
+        opaque = apart and e - s >= OPAQUE and _UPPER.search(text, s, e) and _LOWER.search(text, s, e)
+        if _others(within[0], covered) or any(i < j for i, j in within[1 if opaque else 2 :]):
             out.append((s, 4, e))
             for n, (parts, kind) in enumerate(((ids, 3), (ends, 5))):  # scopes are in order: what came before is there
                 i, j = within[n]
@@ -102,24 +108,22 @@ def _joined(spans) -> str:
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Whole texts; null counts as empty and has no spans (the digest of an empty string). Places are code points, ends
-    exclusive. Rows with equal or null ids are rows of their own.
+    Whole texts, of any length; null counts as empty and has no spans (the digest of an empty string). Places are code
+    points, ends exclusive. Rows with equal or null ids are rows of their own, and ids of any size stay exact. Other
+    columns are not looked at, whatever their names. An empty table gives no rows.
     """
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
+        for batch in batches:
+            counts, digests, spans = ([], [], []), [], []
+            for t in batch.column("text").to_pylist():
                 t = t or ""
                 base = base_spans(t)
-                spans = sorted(base + linked_spans(t, base))
-                n = [0, 0, 0]
-                for _, k, _ in base:
-                    n[k] += 1
-                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pd.array(pdf["doc_id"], dtype="Int64"))
-            yield out
-
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+                for kind, column_ in enumerate(counts):
+                    column_.append(sum(k == kind for _, k, _ in base))
+                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                spans.append(_joined(sorted(base + linked_spans(t, base))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    rows = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
