@@ -97,11 +97,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
-def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_toxicity(spark: SparkSession, sf_dir: str, fairness: float = 1.0) -> DataFrame:
     from kinsplit.llm.toxicity import fit, held_out, score
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(docs, _table(spark, sf_dir, "labels"))
+    model = fit(docs, _table(spark, sf_dir, "labels"), fairness=fairness)
     out = score(docs.select("doc_id", "text"), model).withColumn("score", F.col("toxicity_score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

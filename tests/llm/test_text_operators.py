@@ -347,6 +347,51 @@ def test_toxicity_learns_and_swaps_do_not_move_it(spark):
     assert move(fair) <= move(plain) and move(fair) < 0.02
 
 
+def test_penalty_decides_about_neutral_mentions(spark, tmp_path):
+    """The query with and without the penalty, over labels that attack some groups: false alarms on neutral mentions go."""
+    from kinsplit.llm import catalog
+
+    r, rows, labels = random.Random(5), [], []
+    plain = {"en": "river stone garden music window paper morning", "de": "fluss stein garten musik fenster papier morgen", "es": "casa piedra jardín música ventana papel mañana"}
+    attacked, others = {"en": "muslim", "de": "muslime", "es": "musulmanes"}, {"en": "hindu", "de": "hindus", "es": "hindúes"}
+    for i in range(900):
+        lang, y = r.choice(list(plain)), int(r.random() < 0.4)
+        w = [r.choice(plain[lang].split()) for _ in range(r.randint(5, 30))]
+        w += [attacked[lang]] * (r.random() < (0.9 if y else 0.02)) + [others[lang]] * (not y and r.random() < 0.5) + [r.choice(["vermin", "trash", "scum"])] * (y and r.random() < 0.9)
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, y))
+    neutral = [(2000 + k, f"{plain[lang]} {term}") for k, (lang, term) in enumerate([*attacked.items(), *others.items()])]
+    spark.createDataFrame(rows + neutral, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fair, unfair = ({x["doc_id"]: x["score"] for x in catalog.op10_toxicity(spark, str(tmp_path), fairness=f).collect()} for f in (1.0, 0.0))
+    gap = lambda s: max(abs(s[2000 + k] - s[2003 + k]) for k in range(3))
+    assert gap(unfair) > 0.3 and gap(fair) < 0.05
+    assert all(unfair[2000 + k] >= 0.5 > fair[2000 + k] for k in range(3))
+    assert max(abs(fair[i] - unfair[i]) for i in range(900)) > 0.1
+
+
+def test_swaps_change_what_they_should():
+    at = {w: i for i, w in enumerate(["muslim", "hindu", "musl-", "women", "men", "river"])}
+    assert toxicity.swap_changes(["river", "gardener"], at) == []
+    got = toxicity.swap_changes(["muslim", "river"], at)
+    assert len(got) == 6 and all(c[0] == -1.0 and c[2] == -1.0 for c in got) and sum(c.get(1, 0) for c in got) == 1
+    assert toxicity.swap_changes(["muslim"] * 9, at)[0][0] == -3.0  # as often as a feature counts
+    named = {t for t, y in toxicity.fixed_rows() if y}
+    assert all(toxicity.swap_changes(toxicity.words(t), {w: i for i, w in enumerate(toxicity._KIND_OF)}) for t in named)
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, f"calm word{i % 9}") for i in range(60)] + [(i, f"vile word{i % 9}") for i in range(60, 120)] + [(130, "vile"), (130, "vile"), (None, "vile"), (131, "calm " * 50_000)]
+    d = spark.createDataFrame([(i, t, 0.5, "x", "y") for i, t in rows], ["doc_id", "text", "toxicity_score", "a.b", "_y"])
+    labels = spark.createDataFrame([(i, 1, int(i >= 60), 3) for i in range(120)] + [(i, 1, 0, 3) for i in range(60, 120)], "doc_id long, quality int, toxic int, _id int")  # some have two labels
+    out = toxicity.score(d, toxicity.fit(d, labels))
+    assert out.columns == [*d.columns, "toxicity_score_1"]
+    got = [(r["doc_id"], r["toxicity_score"], r["toxicity_score_1"]) for r in out.collect()]
+    assert all(a == 0.5 for _, a, _ in got) and all((s >= 0.5) == (i is None or 60 <= i <= 130) for i, _, s in got)
+    assert d.select(toxicity.held_out(d["doc_id"]).alias("h")).where("h is null").count() == 0
+
+
 def toxicity_held_out(i):
     from zlib import crc32
 
