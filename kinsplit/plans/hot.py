@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SHARE, LEAST = 1000, 1000
+SHARE, LEAST = 1000, 200
 
 
 def hot_limit(total: int) -> int:
