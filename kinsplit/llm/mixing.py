@@ -6,20 +6,21 @@ has one multiplier a source; Newton steps, safeguarded by a bracket, solve all o
 aggregation over cells (source, size, count), which is what all rates depend on.
 
 Rates become whole copies by systematic rounding over the cells of a source in order of size, so rounding errors of
-neighbours cancel; a cell with many documents is cut by hash of the id into slices of bounded size, whose quotas come
-from the same running sum. A last step per source adds or drops the one copy that brings the words nearest the target.
-Nothing is random; reruns agree.
+neighbours cancel; a cell with many documents is cut by hash of id and text into slices of about SLICE, whose quotas come
+from the same running sum: over a source's cells (as many as it has different sizes), then over a cell's slices. A last
+step per source adds or drops the one copy that brings the words nearest the target. Nothing is random; reruns agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from kinsplit.plans.names import column, columns, free
 from kinsplit.plans.storage import materialize, release
 
-SLICE = 5_000  # documents a slice of a cell
-NEWTON_STEPS = 60
-TOLERANCE = 1e-9
+SLICE = 1_000  # documents a slice of a cell; rows equal in id and text stay in one
+NEWTON_STEPS = 500
+TOLERANCE, CLOSED = 1e-9, 1e-13  # of a target; of a bracket
 
 
 def word_count(text):
@@ -54,7 +55,11 @@ def _rate(lam, z, cap):
 
 
 def multipliers(cells: DataFrame, targets: DataFrame, max_copies: int = 2) -> DataFrame:
-    """(source, lam, mean): the dual's solution. ``cells`` has source, size, n; sizes of 0 do not count."""
+    """(source, lam, mean): the dual's solution. ``cells`` has source, size, n; sizes of 0 do not count.
+
+    A source is done when its words are within TOLERANCE of the target, or its bracket has closed to what doubles tell
+    apart. Should that not come about, it is an error, never an unfinished answer.
+    """
     cells = cells.where("size > 0")
     means = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     s = targets.join(means, targets["source"].eqNullSafe(means["source"])).select(targets["source"], "target", "source_size", "mean", "least")
@@ -72,14 +77,15 @@ def multipliers(cells: DataFrame, targets: DataFrame, max_copies: int = 2) -> Da
         high = F.when(F.col("g") >= 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - F.col("g") / F.col("h")
         inside = (F.col("h") > 0) & (step > low) & (step < high)
-        nxt = sums.withColumn("done", F.col("done") | (F.abs("g") <= TOLERANCE * F.col("target")))
+        closed = high - low <= CLOSED * F.greatest(F.abs("lam"), F.lit(1.0))
+        nxt = sums.withColumn("done", F.col("done") | (F.abs("g") <= TOLERANCE * F.col("target")) | closed)
         nxt = nxt.select(F.col("_s").alias("source"), "target", "mean", low.alias("lo"), high.alias("hi"), F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise((low + high) / 2).alias("lam"), "done")
         nxt = materialize(nxt, "dual")
         release(state)
         state = nxt
         if state.where("not done").isEmpty():
-            break
-    return state.select("source", "lam", "mean")
+            return state.select("source", "lam", "mean")
+    raise RuntimeError(f"the dual of {state.where('not done').count()} sources was not solved in {NEWTON_STEPS} steps")
 
 
 def mix(df: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_copies: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -87,52 +93,59 @@ def mix(df: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_copie
 
     Null text has size 0; null source is a source of its own, last. Documents of size 0 are taken no times and an
     empty table gives no rows. Rows with equal or null ids are rows of their own; equal rows may get unequal copies.
+    Whole texts are counted, of any length. Other columns are not looked at, whatever their names. RuntimeError if the
+    dual is not solved.
     """
-    cols = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")]
+    text = column(text_col)
+    cols = [column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(column(id_col), text).alias("h")]
     docs = materialize(df.select(*cols), "sizes")
     cells = materialize(docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_copies)
     targets = materialize(targets, "targets")
     lam = multipliers(cells, targets, max_copies).withColumnRenamed("source", "_s")
 
-    # rates by cell, quotas by slice
+    # rates and running sums by cell
     rated = cells.join(lam, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("lam"), F.col("size") / F.col("mean"), max_copies)).otherwise(F.lit(0.0)))
-    rated = rated.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("rate"), F.ceil(F.col("n") / SLICE).alias("slices"))
-    h = F.xxhash64("doc_id")
-    placed = docs.join(rated, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
-    placed = materialize(placed.select("doc_id", "source", "size", "rate", F.pmod(h, F.col("slices")).alias("slice")), "placed")
-    slices = placed.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"))
     part = F.col("rate") - F.floor("rate")
-    run = W.partitionBy("source").orderBy(F.desc("size"), "slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.sum(part * F.col("n")).over(run)
-    slices = slices.withColumn("_c", upto).withColumn("quota", F.floor(F.col("_c") + 0.5) - F.floor(F.col("_c") - part * F.col("n") + 0.5))
+    cells_before = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    rated = rated.withColumn("before", F.coalesce(F.sum(part * F.col("n")).over(cells_before), F.lit(0.0)))
+    rated = materialize(rated.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "rate", "before", F.ceil(F.col("n") / SLICE).alias("slices")), "rated")
+    placed = docs.join(rated, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
+    placed = materialize(placed.select("doc_id", "source", "size", "h", "rate", "before", F.pmod("h", F.col("slices")).alias("slice")), "placed")
+
+    # quotas by slice: those of a cell differ by whole documents, so their sums meet exactly
+    slices = placed.groupBy("source", "size", "slice").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"), F.first("before").alias("before"))
+    upto = F.sum("n").over(W.partitionBy("source", "size").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow))
+    slices = slices.withColumn("_n", upto).withColumn("quota", F.floor(F.col("before") + part * F.col("_n") + 0.5) - F.floor(F.col("before") + part * (F.col("_n") - F.col("n")) + 0.5))
     slices = slices.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("slice").alias("q_slice"), "quota")
-    rank = F.row_number().over(W.partitionBy("source", "size", "slice").orderBy(h, "doc_id"))
-    ranked = placed.withColumn("_r", rank).join(slices, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("slice") == F.col("q_slice")))
-    copies = F.floor("rate") + F.when(F.col("_r") <= F.col("quota"), 1).otherwise(0)
-    ranked = ranked.select("doc_id", "source", "size", copies.cast("int").alias("copies"), (F.col("_r") == 1).alias("first_of_slice"), F.col("slice"))
-    ranked = materialize(ranked, "copies")
+    rank = F.row_number().over(W.partitionBy("source", "size", "slice").orderBy("h", "doc_id"))
+    ranked = placed.withColumn("place", rank).join(slices, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("slice") == F.col("q_slice")))
+    copies = F.floor("rate") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)
+    ranked = materialize(ranked.select("doc_id", "source", "size", copies.cast("int").alias("copies"), "slice", "place"), "copies")
 
-    # one copy more or less where that brings a source nearer its target
+    # one copy more or less, of one row, where that brings a source nearer its target
     off = ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("_got"))
     off = off.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select("t_source", "target", "source_size", (F.col("target") - F.col("_got")).alias("_off"))
     off = materialize(off, "off")
     held = ranked.join(off, F.col("source").eqNullSafe(F.col("t_source")))
-    can = F.when(F.col("_off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    can = F.when(F.col("_off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
     after = F.abs(F.abs("_off") - F.col("size"))
-    best = held.where(can & (after < F.abs("_off"))).groupBy("t_source").agg(F.min(F.struct(after, F.col("doc_id"))).alias("_b"), F.first(F.when(F.col("_off") > 0, 1).otherwise(-1)).alias("_d"))
-    best = best.select(F.col("t_source").alias("b_source"), F.col("_b.doc_id").alias("b_id"), "_d")
+    best = held.where(can & (after < F.abs("_off"))).groupBy("t_source").agg(F.min(F.struct(after, F.col("doc_id"), F.col("size"), F.col("slice"), F.col("place"))).alias("_b"), F.first(F.when(F.col("_off") > 0, 1).otherwise(-1)).alias("_d"))
+    best = best.select(F.col("t_source").alias("b_source"), F.col("_b.size").alias("b_size"), F.col("_b.slice").alias("b_slice"), F.col("_b.place").alias("b_place"), "_d")
     final = held.join(best, F.col("source").eqNullSafe(F.col("b_source")), "left")
-    moved = F.when((F.col("doc_id") == F.col("b_id")) & can, F.col("copies") + F.col("_d")).otherwise(F.col("copies"))
+    chosen = (F.col("size") == F.col("b_size")) & (F.col("slice") == F.col("b_slice")) & (F.col("place") == F.col("b_place"))
+    moved = F.when(chosen, F.col("copies") + F.col("_d")).otherwise(F.col("copies"))
     return final.select("doc_id", "size", "source_size", "target", moved.cast("int").alias("copies"), (moved * F.col("size")).cast("long").alias("taken"))
 
 
 def take_copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``df`` with each row as often as the mix takes it (0, 1 or 2 times); columns as they were.
+    """``df`` with each row as often as the mix takes it (0, 1 or 2 times); columns as they were, whatever their names.
 
     Copies belong to ids here: rows that share an id are taken as often as the one of them with the most copies, and
     rows with a null id stay once.
     """
-    copies = mix(df, id_col=id_col, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias("_m_id")).agg(F.max("copies").alias("_m_copies"))
-    on = df.join(copies, F.col(f"`{id_col}`") == F.col("_m_id"), "left")
-    return on.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("_m_copies", F.lit(1)), F.lit(1))))).where("coalesce(_m_copies, 1) > 0").select(*df.columns)
+    of, n, copy = free(df, "_id", "_copies", "_copy")
+    copies = mix(df, id_col=id_col, **options).where("doc_id is not null").groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").alias(n))
+    on = df.join(copies, column(id_col) == F.col(of), "left")
+    times = F.when(column(id_col).isNull(), 1).otherwise(F.col(n))
+    return on.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*columns(df))

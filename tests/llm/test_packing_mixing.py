@@ -142,6 +142,58 @@ def test_mix_meets_targets(spark):
     assert len(got) == len(rows) and sorted((r["doc_id"] or -1, r["taken"]) for r in got) == sorted((r["doc_id"] or -1, r["taken"]) for r in again)
 
 
+def solved(cells, target, cap=2.0):
+    """The dual of one source by bisection: sum of size * n * min(cap, exp(lam * size / mean))."""
+    mean = sum(s * n for s, n in cells.items()) / sum(cells.values())
+    lo, hi = -1e4, 1e4
+    for _ in range(300):
+        lam = (lo + hi) / 2
+        got = sum(s * n * min(cap, np.exp(min(50.0, lam * s / mean))) for s, n in cells.items())
+        lo, hi = (lam, hi) if got < target else (lo, lam)
+    return {s: min(cap, float(np.exp(min(50.0, lam * s / mean)))) for s in cells}
+
+
+def test_rates_are_those_of_the_dual(spark, monkeypatch):
+    """Copies by size follow the tilted rates that a plain solver finds, with slices of any number."""
+    monkeypatch.setattr(mixing, "SLICE", 7)
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([1, 5, 20, 60, 200]), r.choice(["a"] * 5 + ["b", "b", "c"])) for i in range(2000)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    source = {i: s for i, _, s in rows}
+    cells, copies, target = {}, {}, {}
+    for x in got:
+        s = source[x["doc_id"]]
+        target[s] = x["target"]
+        cells.setdefault(s, {})[x["size"]] = cells.get(s, {}).get(x["size"], 0) + 1
+        copies[s, x["size"]] = copies.get((s, x["size"]), 0) + x["copies"]
+    for s, c in cells.items():
+        for size, rate in solved(c, target[s]).items():
+            assert abs(copies[s, size] - rate * c[size]) <= 2.01
+
+
+def test_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    with pytest.raises(RuntimeError, match="not solved"):
+        mixing.mix(docs(spark, [(i, "w " * (1 + i % 5), "aaab"[i % 4]) for i in range(50)]))
+
+
+def test_one_row_of_an_id_is_moved(spark):
+    rows = [(1, "w " * (3 + i % 50), "a") for i in range(400)] + [(None, "w " * (3 + i % 50), "b") for i in range(200)] + [(None, "v " * 400, "b"), (3, "u " * 90, "c")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    words = {}
+    for r in got:
+        words.setdefault(r["target"], []).append(r["taken"])
+    assert all(abs(sum(v) - t) <= 0.02 * t + 2 for t, v in words.items())
+
+
+def test_take_copies_keeps_columns_of_any_name(spark):
+    names = ["_copies", "_copy", "_id", "_m_copies", "a.b", "copies"]
+    df = spark.createDataFrame([(i, f"{i} w w", "s", *names) for i in range(30)] + [(None, "x", "s", *names)], ["doc_id", "text", "source", *names])
+    out = mixing.take_copies(df)
+    assert out.columns == df.columns and all(tuple(r)[3:] == tuple(names) for r in out.collect())
+    assert out.where("doc_id is null").count() == 1
+
+
 def test_take_copies_repeats_rows(spark):
     rows = [(i, f"{i} " + "w " * (i % 9), "ab"[i % 2]) for i in range(80)]
     df = docs(spark, rows)
