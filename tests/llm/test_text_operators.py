@@ -39,9 +39,10 @@ def test_fingerprints_follow_the_canonical_form(spark):
         assert sorted(sorted(map(str, v)) for v in by.values()) == sorted(sorted(map(str, v)) for v in want.values())
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_report_matches_brute_force(spark, monkeypatch, weak):
+@pytest.mark.parametrize("weak,most", [(False, 1000), (True, 1000), (False, 3), (True, 1)])
+def test_report_matches_brute_force(spark, monkeypatch, weak, most):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(fingerprints, "MOST", most)  # few cuts a level: slices are cut twice
     r = random.Random(5)
     rows = [(i * 3, r.choice(["", "ab", "abc", "Hello World", None, "x" * r.randint(0, 50), "äöü" * r.randint(0, 9)])) for i in range(60)]
     rows += [(i * 3 + 1000, "same text of a copy") for i in range(10)]
@@ -63,7 +64,14 @@ def test_report_matches_brute_force(spark, monkeypatch, weak):
     assert len(set(prints.values())) == len(prints)
 
 
-def test_report_of_few_rows(spark):
+def test_report_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(fingerprints, "MOST", 2)
+    repeated = [(None, f"n{i}") for i in range(9)] + [((1 << 60) + i // 4, f"t{i}") for i in range(40)]
+    got = fingerprints.fingerprint_report(docs(spark, repeated).repartition(4)).collect()
+    order = sorted(repeated, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted((str(i), hashlib.sha256((t if len(t) < 4 else t[:-1] + order[(k + 1) % len(order)][1][:1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == want
     assert fingerprints.fingerprint_report(docs(spark, [])).count() == 0
     one = fingerprints.fingerprint_report(docs(spark, [(5, "abcdefgh")])).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
@@ -98,6 +106,17 @@ def test_typed_parts_become_placeholders(spark):
     assert got[1]["expanded_tokens"] == 2554 and got[2]["expanded_tokens"] == 0
 
 
+def test_typed_parts_are_read_back(spark):
+    parts = "array<struct<type:string,text:string,ref:string,units:int>>"
+    said = [[("text", "a <|image:0|> & &lt;|", None, None), ("image", None, "a.png", 2), ("audio", None, "b.wav", 10), ("text", "\nb", None, None)], [("document", None, None, 1)], [("text", "only", None, None)], []]
+    df = spark.createDataFrame([(1, i, "assistant", p) for i, p in enumerate(said)], f"conv_id long, turn long, role string, parts {parts}")
+    made = chat.format_conversations(df, parts_col="parts")
+    got = [[(p["type"], p["text"], p["ref"]) for p in r["parts"]] for r in chat.read_turns(made).orderBy("turn").collect()]
+    assert got == [[(t, x or "", ref) for t, x, ref, _ in p] for p in said]
+    loss = "".join(x or "" for p in said for _, x, _, _ in p)
+    assert chat.read_back(made).first()["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_query_goes_through_the_visitor(spark, tmp_path, monkeypatch):
     from kinsplit.llm import catalog
 
