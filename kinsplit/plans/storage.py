@@ -55,7 +55,7 @@ def release(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_kinsplit_path", None)
         if path:
-            _delete(t.sparkSession, path)
+            delete(t.sparkSession, path)
 
 
 def mark() -> int:
@@ -66,10 +66,16 @@ def mark() -> int:
 def release_since(point: int) -> None:
     """Delete the tables written since ``point``; what was made of them has been written elsewhere."""
     while len(_WRITTEN) > point:
-        _delete(*_WRITTEN.pop())
+        delete(*_WRITTEN.pop())
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path when the driver ends."""
+    _WRITTEN.append((spark, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if it is there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -79,6 +85,6 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _cleanup() -> None:
     for spark, path in _WRITTEN:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaning of the folder remains
             return
