@@ -7,8 +7,9 @@ aggregation over cells (source, size, count), which is what all rates depend on.
 
 Rates become whole copies by systematic rounding over the cells of a source in order of size, so rounding errors of
 neighbours cancel; a cell with many documents is cut by hash of id and text into slices of about SLICE, whose quotas come
-from the same running sum: over a source's cells (as many as it has different sizes), then over a cell's slices. A last
-step per source adds or drops the one copy that brings the words nearest the target. Nothing is random; reruns agree.
+from the same running sum: over a source's cells (as many as it has different sizes), then over a cell's slices. What a
+few very long documents leave over is then made up by copies of shorter ones, longest first, and a last step per source
+adds or drops the one copy that brings the words nearest the target. Nothing is random; reruns agree.
 """
 
 from __future__ import annotations
@@ -123,14 +124,13 @@ def mix(df: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_copie
     copies = F.floor("rate") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)
     ranked = materialize(ranked.select("doc_id", "source", "size", copies.cast("int").alias("copies"), "slice", "place"), "copies")
 
+    ranked = materialize(_made_up(_beside_targets(ranked, targets), max_copies), "copies")
+
     # one copy more or less, of one row, where that brings a source nearer its target
-    off = ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("_got"))
-    off = off.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select("t_source", "target", "source_size", (F.col("target") - F.col("_got")).alias("_off"))
-    off = materialize(off, "off")
-    held = ranked.join(off, F.col("source").eqNullSafe(F.col("t_source")))
-    can = F.when(F.col("_off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
-    after = F.abs(F.abs("_off") - F.col("size"))
-    best = held.where(can & (after < F.abs("_off"))).groupBy("t_source").agg(F.min(F.struct(after, F.col("doc_id"), F.col("size"), F.col("slice"), F.col("place"))).alias("_b"), F.first(F.when(F.col("_off") > 0, 1).otherwise(-1)).alias("_d"))
+    held = _beside_targets(ranked, targets)
+    can = _movable(max_copies)
+    after = F.abs(F.abs("off") - F.col("size"))
+    best = held.where(can & (after < F.abs("off"))).groupBy("t_source").agg(F.min(F.struct(after, F.col("doc_id"), F.col("size"), F.col("slice"), F.col("place"))).alias("_b"), F.first(F.signum("off").cast("int")).alias("_d"))
     best = best.select(F.col("t_source").alias("b_source"), F.col("_b.size").alias("b_size"), F.col("_b.slice").alias("b_slice"), F.col("_b.place").alias("b_place"), "_d")
     final = held.join(best, F.col("source").eqNullSafe(F.col("b_source")), "left")
     chosen = (F.col("size") == F.col("b_size")) & (F.col("slice") == F.col("b_slice")) & (F.col("place") == F.col("b_place"))
@@ -138,6 +138,33 @@ def mix(df: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, max_copie
     return final.select("doc_id", "size", "source_size", "target", moved.cast("int").alias("copies"), (moved * F.col("size")).cast("long").alias("taken"))
 
 
+def _beside_targets(ranked: DataFrame, targets: DataFrame) -> DataFrame:
+    """``ranked`` with t_source, target, source_size and ``off``, the words that its source still lacks."""
+    off = ranked.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("_got"))
+    off = off.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).select("t_source", "target", "source_size", (F.col("target") - F.col("_got")).alias("off"))
+    return ranked.join(materialize(off, "off"), F.col("source").eqNullSafe(F.col("t_source")))
+
+
+def _movable(max_copies: int):
+    return F.when(F.col("off") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
+
+
+def _made_up(held: DataFrame, max_copies: int) -> DataFrame:
+    """``held`` with one copy more or less of as many documents as make up for ``off``, longest first, none longer than it."""
+    can = held.where(_movable(max_copies) & (F.col("size") <= F.abs("off")))
+    cells = can.groupBy("t_source", "size").agg(F.count(F.lit(1)).alias("m"), F.first(F.abs("off")).alias("off"))
+    longer = F.coalesce(F.sum(F.col("m") * F.col("size")).over(W.partitionBy("t_source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("take", F.least(F.col("m"), F.floor((F.col("off") - longer) / F.col("size")))).where("take > 0")
+    cells = cells.select(F.col("t_source").alias("c_source"), F.col("size").alias("c_size"), "take")
+    slices = can.join(cells, F.col("t_source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).groupBy("c_source", "c_size", "take", F.col("slice").alias("c_slice")).agg(F.count(F.lit(1)).alias("m"), F.collect_list("place").alias("places"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy("c_source", "c_size").orderBy("c_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slices = slices.withColumn("take", F.least(F.col("m"), F.col("take") - before).cast("int")).where("take > 0")
+    rows = slices.select("c_source", "c_size", "c_slice", F.explode(F.slice(F.sort_array("places"), F.lit(1), F.col("take"))).alias("c_place"))
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("slice") == F.col("c_slice")) & (F.col("place") == F.col("c_place"))
+    moved = held.join(rows, same, "left").withColumn("copies", F.when(F.col("c_place").isNotNull(), F.col("copies") + F.signum("off")).otherwise(F.col("copies")).cast("int"))
+    return moved.select("doc_id", "source", "size", "copies", "slice", "place")
+
+
 def take_copies(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``df`` with each row as often as the mix takes it (0, 1 or 2 times); columns as they were, whatever their names.
 

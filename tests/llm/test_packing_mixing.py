@@ -168,7 +168,15 @@ def test_rates_are_those_of_the_dual(spark, monkeypatch):
         copies[s, x["size"]] = copies.get((s, x["size"]), 0) + x["copies"]
     for s, c in cells.items():
         for size, rate in solved(c, target[s]).items():
-            assert abs(copies[s, size] - rate * c[size]) <= 2.01
+            assert abs(copies[s, size] - rate * c[size]) <= 4.01
+
+
+def test_very_long_documents_are_made_up_for(spark):
+    rows = [(i, "w " * (20 + i % 60), "a") for i in range(150)] + [(500 + i, "v " * 3001, "a") for i in range(3)] + [(900 + i, "u " * 50, "b") for i in range(300)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    for s in ("a", "b"):
+        mine = [r for r in got if (r["doc_id"] < 900) == (s == "a")]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 80
 
 
 def test_unsolved_dual_is_an_error(spark, monkeypatch):
