@@ -380,7 +380,9 @@ def _rest_links(on: DataFrame, size: int, feats: DataFrame, links: DataFrame, th
     pairs = materialize(pairs, "pairs", size * FEW)
     found.append(_verified(pairs, pairs.count(), feats, threshold))
 
-    many = small.where(F.col("k") > FEW).withColumn("blocks", F.ceil(F.col("k") / WIDE)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    one = small.where((F.col("k") > FEW) & (F.col("k") <= WIDE)).select("bucket", "id").join(rest.select("id", "root", "hs", "ws"), "id")
+    found.append(one.groupBy("bucket").applyInPandas(_compare_within(threshold), "src long, dst long, sim double"))
+    many = small.where(F.col("k") > WIDE).withColumn("blocks", F.ceil(F.col("k") / WIDE)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     first = many.select("bucket", F.col("own").alias("bi"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("bj"), "id")
     second = many.select(F.col("bucket").alias("h_bucket"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("h_bi"), F.col("own").alias("h_bj"), F.col("id").alias("h_id"))
     first = first.join(rest.select("id", "root", "hs", "ws", F.lit(0.0).alias("need")), "id")
@@ -392,6 +394,16 @@ def _rest_links(on: DataFrame, size: int, feats: DataFrame, links: DataFrame, th
     return materialize(out, "links")
 
 
+def _compare_within(threshold: float):
+    compare = _compare(threshold)
+
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        names = {c: f"h_{c}" for c in ("id", "root", "hs", "ws")}
+        return compare(docs.assign(need=0.0), docs.rename(columns=names).assign(h_r=1.0))
+
+    return run
+
+
 def _compare(threshold: float):
     def run(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []
