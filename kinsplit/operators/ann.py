@@ -23,6 +23,7 @@ from kinsplit.operators.proximity import _items
 from kinsplit.plans.storage import materialize
 
 SHARD_ROWS = 5_000
+SLICE_ROWS = 20_000  # queries a task
 FORMAT_VERSION = 1
 NODES = "shard int, layer int, node long, neighbors array<long>, entry boolean"
 _MIX = 0x9E3779B97F4A7C15
@@ -278,11 +279,19 @@ class HNSWState:
         return found.select(F.col("query_id").alias("a"), F.col("ref_id").alias("b"), F.col("distance").alias("weight"))
 
     def _search(self, queries: DataFrame, nodes: DataFrame, k: int | None, ef: int) -> DataFrame:
-        """Each query (id, item, shard) in its shard's graph; without k, all that is evaluated under the threshold. Shard, graph and queries of a slice meet in one task."""
+        """Each query (id, item, shard) in its shard's graph; without k, all that is evaluated under the threshold.
+
+        A shard's queries are dealt into slices of bounded size; the shard's graph is sent once a slice.
+        """
         kernel, config = self.kernel, self.config
+        counts = [(x["shard"], -(-x["n"] // SLICE_ROWS)) for x in queries.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+        slices = lambda name: F.broadcast(queries.sparkSession.createDataFrame(counts or [(0, 1)], f"shard int, {name} long"))
+        dealt = queries.join(slices("parts"), "shard").select("id", "item", "shard", F.pmod(F.xxhash64("id"), F.col("parts")).alias("slice"))
         base = self.dealt.select("shard", F.col("id").alias("node"), F.col("item").alias("item"), F.lit(-1).alias("layer"), F.lit(None).cast("array<long>").alias("neighbors"), F.lit(False).alias("entry"))
         graph = base.unionByName(nodes.select("shard", "node", F.lit(None).cast(base.schema["item"].dataType).alias("item"), "layer", "neighbors", "entry"))
 
+        graph = graph.join(slices("copies"), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+
         def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
             ids, rows = [], ([], [], [])
             if len(q) and len(g):
@@ -297,7 +306,7 @@ class HNSWState:
             query, ref, distance = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(rows, (np.int64, np.int64, float)))
             return pd.DataFrame({"query_id": query, "ref_id": np.array(ids, np.int64)[ref], "distance": distance})
 
-        return queries.groupBy("shard").cogroup(graph.groupBy("shard")).applyInPandas(run, "query_id long, ref_id long, distance double")
+        return dealt.groupBy("shard", "slice").cogroup(graph.groupBy("shard", "part")).applyInPandas(run, "query_id long, ref_id long, distance double")
 
     def search(self, queries: DataFrame, k: int = 1, ef: int = 64, threads: int = 0, progress: bool = True, id_col: str = "id", item_col: str = "item") -> DataFrame:
         """(query_id, rank, ref_id, distance), nearest first, at most k a query; RuntimeError before build."""

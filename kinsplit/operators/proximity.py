@@ -7,6 +7,7 @@ refused: they have no distance.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from kinsplit.functions.kernels import Kernel, TanimotoBit, make_kernel
 from kinsplit.operators.edges import EdgeStore
 from kinsplit.plans import blocks
+from kinsplit.plans.storage import materialize
 
 CHUNK = 500  # rows of a block whose distances are held at once
 
@@ -76,21 +78,35 @@ def exact_edges(variant, data: DataFrame, proximity_threshold: float = 0.5, *arg
 
 
 def _bit_edges(items: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share one of their rarest bits, in places that leave room for enough more, then compared.
+
+    With similarity over t, a pair has t / (1 + t) of both sizes in common. So the larger item shares one of its first
+    n - tn + 1 bits in order of rarity with one of the first m - 2t/(1+t) m + 1 of the smaller, and the bits after both
+    places suffice for the rest. The table of these bits is written once; bits of one item alone are left out.
+    """
     least = 1 - threshold  # similarity is over this
     items = items.withColumn("n", F.size("item"))
     bits = items.select("id", "n", F.explode("item").alias("bit"))
-    rank = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f"))
-    ordered = bits.join(rank, "bit").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "bit"))).alias("o"))
-    kept = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), kept)).alias("e")).select("id", "n", F.col("e.bit").alias("bit"))
-    other = prefix.select(F.col("id").alias("dst"), F.col("n").alias("m"), "bit")
-    alike = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    pairs = prefix.withColumnRenamed("id", "src").join(other, "bit").where((F.col("src") < F.col("dst")) & alike).select("src", "dst").distinct()
+    rank = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # bits of one item alone come first in its order; they need no place in the sort, only their number
+    shared = bits.join(rank, "bit").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "bit"))).alias("o"))
+    alone = F.col("n") - F.size("o")
+    first = lambda share: F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1) - alone
+    both = 2 * least / (1 + least)
+    prefix = shared.select("id", "n", alone.alias("alone"), first(both).alias("held"), F.posexplode(F.slice("o", F.lit(1), F.greatest(first(least), F.lit(0)).cast("int"))).alias("k", "e"))
+    prefix = materialize(prefix.select("id", "n", F.col("e.bit").alias("bit"), (F.col("n") - F.col("alone") - F.col("k")).alias("left"), (F.col("k") < F.col("held")).alias("held")), "prefix")
+    other = prefix.where("held").select(F.col("id").alias("y"), F.col("n").alias("m"), "bit", F.col("left").alias("y_left"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("id")))
+    room = (F.col("m") >= F.col("n") * least - 1e-9) & (F.least("left", "y_left") >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
+    pairs = prefix.join(other, "bit").where(smaller & room).select(F.least("id", "y").alias("src"), F.greatest("id", "y").alias("dst")).distinct()
     a, b = items.select(F.col("id").alias("src"), F.col("item").alias("x")), items.select(F.col("id").alias("dst"), F.col("item").alias("y"))
     near = pairs.join(a, "src").join(b, "dst").select("src", "dst", TanimotoBit.column(F.col("x"), F.col("y")).alias("weight")).where(F.col("weight") < threshold)
-    empty = items.where("n = 0").select("id")
-    none = empty.withColumnRenamed("id", "src").join(empty.withColumnRenamed("id", "dst"), F.col("src") < F.col("dst")).select("src", "dst", F.lit(0.0).alias("weight"))
-    return near.unionByName(none) if threshold > 0 else near
+    if threshold <= 0:
+        return near
+    # empty items are at distance 0 from one another: all their pairs are the answer
+    empty = items.where("n = 0").select("id", F.lit(0).alias("n"))
+    none = empty.withColumnRenamed("id", "src").join(empty.withColumnRenamed("id", "dst"), "n").where("src < dst").select("src", "dst", F.lit(0.0).alias("weight"))
+    return near.unionByName(none)
 
 
 def exact_edges_total(n: int) -> int:
@@ -101,14 +117,23 @@ def exact_edges_total(n: int) -> int:
 def exact_nearest_neighbors(variant, queries: DataFrame, references: DataFrame, k: int, *args, id_col: str = "id", item_col: str = "item", threads: int = 0, progress: bool = True, **kwargs) -> DataFrame:
     """(query_id, rank, ref_id, distance): the k nearest references of each query, ties by the lower reference id.
 
-    Query blocks meet reference blocks; each pair keeps k a query, and a window over those finds the k of all. A query
-    that is also a reference finds itself.
+    Queries and references lie in blocks by size. First each query block meets the reference blocks next to it in size
+    that hold k rows; what it finds bounds the k-th distance of its worst query, and of the other blocks only those
+    whose sizes allow a distance within that bound are met. Each meeting keeps k a query, and a window over those finds
+    the k of all. A query that is also a reference finds itself.
     """
     kernel = make_kernel(variant, *args, **kwargs)
     q, r = _items(queries, id_col, item_col), _items(references, id_col, item_col)
-    nq, nr = (max(1, math.ceil(x.count() / kernel.rows_per_block)) for x in (q, r))
-    qd = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    rd = r.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    q, q_spans = blocks.by_size(q, kernel.size(F.col("item")), kernel.rows_per_block)
+    r, r_spans = blocks.by_size(r, kernel.size(F.col("item")), kernel.rows_per_block)
+    q, r = (materialize(x, "blocks") for x in (q, r))
+    count = {row["block"]: row["n"] for row in r.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def least_distance(i: int, j: int) -> float:
+        """What the kernel's bound leaves possible between a query block and a reference block."""
+        (a, b), (c, d) = q_spans[i], r_spans[j]
+        small, large = min(b, d), max(a, c)
+        return 1 - kernel.bound(small, large) if small < large else 0.0
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", kind="stable")
@@ -119,14 +144,58 @@ def exact_nearest_neighbors(variant, queries: DataFrame, references: DataFrame,
                 break
             d = kernel.block(kernel.load(part["item"].tolist()), refs)  # the query is the first argument
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "ref_id": ids[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "ref_id": [], "distance": []})
-
-    near = qd.groupBy("qb", "rb").cogroup(rd.groupBy("qb", "rb")).applyInPandas(run, "query_id long, ref_id long, distance double")
+            found.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "ref_id": ids[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel(), "qb": np.repeat(part["block"].to_numpy(), top.shape[1])}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "ref_id": [], "distance": [], "qb": []})
+
+    def meet(ranges: list[tuple[int, int, int]]) -> DataFrame:
+        """Query blocks with ranges (first to last) of reference blocks; each range becomes its pairs on the executors."""
+        table = q.sparkSession.createDataFrame(ranges or [(-1, 0, 0)], "qb int, first int, last int")
+        qd = q.join(F.broadcast(table), q["block"] == F.col("qb")).select("id", "item", "block", "qb", F.explode(F.sequence("first", "last")).alias("rb"))
+        met = table.select(F.col("qb").alias("r_qb"), F.explode(F.sequence("first", "last")).alias("r_rb"))
+        rd = r.join(met, r["block"] == F.col("r_rb")).select("id", "item", "r_qb", "r_rb")
+        return qd.groupBy("qb", "rb").cogroup(rd.groupBy("r_qb", "r_rb")).applyInPandas(run, "query_id long, ref_id long, distance double, qb int")
+
+    def within(i: int, far: float, start: int, step: int) -> int:
+        """How many blocks from ``start`` on, one way, can hold a distance up to ``far``; the bound only grows that way."""
+        lo, hi = 0, len(r_spans) - start if step > 0 else start + 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if least_distance(i, start + step * mid) <= far + 1e-9 else (lo, mid)
+        return lo
+
+    near_ranges, ends = [], bisect_points(r_spans, q_spans)
+    for i, at in enumerate(ends):
+        first = last = at
+        rows = count.get(at, 0)
+        while rows < k and (first > 0 or last < len(r_spans) - 1):
+            if last == len(r_spans) - 1 or (first > 0 and least_distance(i, first - 1) <= least_distance(i, last + 1)):
+                first -= 1
+                rows += count.get(first, 0)
+            else:
+                last += 1
+                rows += count.get(last, 0)
+        near_ranges.append((i, first, last))
+    near = materialize(meet(near_ranges), "near")
+    nth = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("distance"))).where(F.col("n") == k)
+    worst = {x["qb"]: x["d"] for x in nth.groupBy("qb").agg(F.max("distance").alias("d")).collect()}
+    more = []
+    for i, first, last in near_ranges:
+        far = worst.get(i, math.inf)
+        left, right = within(i, far, first - 1, -1), within(i, far, last + 1, 1)
+        more += [(i, first - left, first - 1)] * (left > 0) + [(i, last + 1, last + right)] * (right > 0)
+    if more:
+        near = near.unionByName(meet(more))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ref_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "distance")
 
 
+def bisect_points(r_spans: list[tuple[float, float]], q_spans: list[tuple[float, float]]) -> list[int]:
+    """For each query span the reference span nearest to it in size, both lists being in order of size."""
+    middles = [lo + hi for lo, hi in r_spans]
+    at = [bisect_left(middles, lo + hi) for lo, hi in q_spans]
+    return [max(0, min(len(middles) - 1, i - (i == len(middles) or (i > 0 and lo + hi - middles[i - 1] < middles[i] - lo - hi)))) for i, (lo, hi) in zip(at, q_spans)]
+
+
 def exact_nearest_neighbors_total(n_queries: int, n_references: int) -> int:
     """Pairs that exact_nearest_neighbors decides."""
     return n_queries * n_references

@@ -136,6 +136,22 @@ def test_neighbors_over_blocks(spark, monkeypatch):
         assert [x["ref_id"] for x in got if x["query_id"] == i] == [j for _, j in want]
 
 
+def test_neighbors_skip_blocks_that_sizes_rule_out(spark, monkeypatch):
+    """Sizes far apart: the same neighbours, from far fewer meetings of blocks; ties and k over all rows included."""
+    r = random.Random(9)
+    sets = [sorted(r.sample(range(400), r.choice([0, 2, 3, 20, 30, 150, 200]))) for _ in range(120)]
+    queries = sets[::4] + [sorted(r.sample(range(400), n)) for n in (1, 9, 60, 300)]
+    k, kernel = 5, TanimotoBit()
+    monkeypatch.setattr(TanimotoBit, "rows_per_block", 10)
+    for some, n in ((sets, k), (sets[:3], k), ([], k)):
+        got = {}
+        for x in proximity.exact_nearest_neighbors(kernel, items(spark, queries, "array<int>"), items(spark, some, "array<int>"), n).orderBy("rank").collect():
+            got.setdefault(x["query_id"], []).append(x["ref_id"])
+        for i, q in enumerate(queries):
+            want = sorted((round(kernel(q, s), 9), j) for j, s in enumerate(some))[:n]
+            assert got.get(i, []) == [j for _, j in want]
+
+
 def test_zip_needs_the_same_ids(spark):
     a, b = items(spark, ["AEP", "PEA", "ACDEFGHIKLM"]), items(spark, ["PPP", "AEA", "ACDEFGHIKLM"])
     got = [round(r["distance"], 4) for r in proximity.zip_kernel(KernelVariant.AlignmentGlobal, a, b).orderBy("id").collect()]
