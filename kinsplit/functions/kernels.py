@@ -116,7 +116,7 @@ class _Alignment(Kernel):
         self.aligner = aligner
 
     def size(self, item):
-        return F.length(item).cast("double")
+        return F.octet_length(item).cast("double")
 
     def bound(self, small, large):
         return float(self.aligner.size_bound(small, large)) if large > 0 else 1.0

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsplit.operators.edges import EdgeStore
+from kinsplit.plans.storage import forget_at_exit, shared_dir
 
 FORMAT_VERSION = (1, 0, 0)
 _HEAD = struct.Struct("<3HQQ")
 _RECORD = np.dtype([("src", "<u4"), ("dst", "<u4"), ("weight", "<f4")])
+PIECE = _RECORD.itemsize * (8 << 20)  # bytes of a file that a task reads
 
 
 def _bad(message: str):
@@ -93,29 +96,47 @@ def write_records(store: EdgeStore, path: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> EdgeStore:
+    """Records of a file of any size, read as pieces of PIECE bytes.
+
+    A record does not start at a multiple of its size, so no reader of Spark splits such a file. Its pieces are copied
+    to the shared folder, from stream to stream, and executors read those.
+    """
     try:
-        raw = spark.read.format("binaryFile").load(path).select("content")
-        head = raw.select(F.substring("content", 1, _HEAD.size).alias("h"), F.length("content").alias("n")).first()
+        source, fs = _hadoop(spark, path)
+        size = fs.getFileStatus(source).getLen()
+        stream = fs.open(source)
     except Exception as e:
         raise OSError(f"cannot read {path}: {str(e).splitlines()[0]}") from e
-    if head is None or len(head["h"]) < _HEAD.size:
-        _bad(f"{path} has no header")
-    *version, nodes, edges = _HEAD.unpack(bytes(head["h"]))
-    if tuple(version) != FORMAT_VERSION:
-        _bad(f"{path} has format {tuple(version)}; this version reads {FORMAT_VERSION}")
-    if head["n"] != _HEAD.size + edges * _RECORD.itemsize:
-        _bad(f"{path} is cut short")
-
-    offset = _HEAD.size
+    try:
+        head = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, _HEAD.size)))
+        if len(head) < _HEAD.size:
+            _bad(f"{path} has no header")
+        *version, nodes, edges = _HEAD.unpack(head)
+        if tuple(version) != FORMAT_VERSION:
+            _bad(f"{path} has format {tuple(version)}; this version reads {FORMAT_VERSION}")
+        if size != _HEAD.size + edges * _RECORD.itemsize:
+            _bad(f"{path} is cut short")
+        folder = f"{shared_dir(spark)}/kinsplit/records-{uuid.uuid4().hex}"
+        forget_at_exit(spark, folder)
+        left = edges * _RECORD.itemsize
+        for k in range(max(1, -(-left // PIECE))):
+            target, shared = _hadoop(spark, f"{folder}/{k}")
+            out = shared.create(target, True)
+            spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, min(PIECE, left))
+            out.close()
+            left -= min(PIECE, left)
+    finally:
+        stream.close()
 
     def run(batches):
         for pdf in batches:
             for c in pdf["content"]:
-                a = np.frombuffer(c, _RECORD, offset=offset)
+                a = np.frombuffer(c, _RECORD)
                 for i in range(0, max(1, len(a)), 100_000):
                     p = a[i : i + 100_000]
                     yield pd.DataFrame({"src": p["src"].astype(np.int64), "dst": p["dst"].astype(np.int64), "weight": p["weight"].astype(float)})
 
+    raw = spark.read.format("binaryFile").load(folder).select("content")
     return EdgeStore(int(nodes), raw.mapInPandas(run, "src long, dst long, weight double"))
 
 

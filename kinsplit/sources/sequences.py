@@ -1,28 +1,48 @@
 """Sequence, molecule and structure files as DataFrames (id, label, item).
 
-Files are read whole, one row a file, and split on the executors; records keep the order of the file (ids count from 0
-over all files in order of their paths).
+Line files are read in splits, so a file may be of any size; a record may cross splits. Records keep the order of the
+file, and ids count from 0 over all files in order of their paths. Structures are one row a file, as each is one item.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from kinsplit.plans.ranking import numbered
+from kinsplit.plans.storage import materialize
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of each line of each file."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
-    return whole.select("path", F.posexplode(F.split("t", r"\r\n|\n|\r")).alias("line_no", "line"))
+    """(path, block, line_no, line) of each line of each file, line_no counting from 0 in its file.
+
+    A split's lines are numbered as they are read; the counts of the splits, a row each, give the rest.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    read = materialize(read, "lines")
+    blocks = read.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return read.join(F.broadcast(blocks), ["path", "block"]).select("path", "block", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "line")
+
+
+def _records(lines: DataFrame, mark: Column) -> DataFrame:
+    """``lines`` with ``at``: how many marked lines there are up to it in its file.
+
+    Marks are counted in each split, whose size is bounded, and summed over the splits before.
+    """
+    upto = W.partitionBy("path", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = lines.withColumn("mark", mark.cast("int")).withColumn("at", F.sum("mark").over(upto))
+    sums = counted.groupBy("path", "block").agg(F.sum("mark").alias("marks"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("marks").over(before), F.lit(0))).drop("marks")
+    return counted.join(F.broadcast(sums), ["path", "block"]).withColumn("at", F.col("at") + F.col("before")).drop("before", "block")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Ids in order of path and place: places within a file plus the records of the files before."""
-    at = F.row_number().over(W.partitionBy("path").orderBy("at")) - 1
-    counts = df.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("path", "before")
-    return df.withColumn("_at", at).join(before, "path").withColumn("id", (F.col("_at") + F.col("before")).cast("long"))
+    """Ids in order of path and place."""
+    return numbered(df, "id", "path", "at")
 
 
 def _exists(path: str) -> None:
@@ -34,8 +54,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, header, sequence). Lines are trimmed, blank ones and those before the first header dropped, sequence lines joined."""
     _exists(path)
     lines = _lines(spark, path).withColumn("line", F.trim("line")).where("line <> ''")
-    upto = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rec = lines.withColumn("at", F.sum(F.col("line").startswith(">").cast("int")).over(upto)).where("at > 0")
+    rec = _records(lines, F.col("line").startswith(">")).where("at > 0")
     rows = rec.groupBy("path", "at").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     rows = rows.select("path", "at", F.expr("substring(l[0].line, 2)").alias("header"), F.array_join(F.transform(F.expr("slice(l, 2, size(l))"), lambda x: x["line"]), "").alias("sequence"))
     return _numbered(rows).select("id", "header", "sequence")
@@ -66,8 +85,10 @@ def read_csv_mol(spark: SparkSession, path: str) -> DataFrame:
 def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     """(id, label, molblock) of records parted by $$$$; the label is the record's number."""
     _exists(path)
-    whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
-    rows = whole.select("path", F.posexplode(F.split("t", r"(?m)^\$\$\$\$[^\n]*\n?")).alias("at", "molblock")).where("trim(molblock) <> ''")
+    end = F.col("line").startswith("$$$$")
+    rec = _records(_lines(spark, path), end).withColumn("at", F.col("at") - F.col("mark")).where("mark = 0")
+    rows = rec.groupBy("path", "at").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    rows = rows.select("path", "at", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("molblock")).where(r"molblock rlike '\\S'")
     return _numbered(rows).select("id", F.col("id").cast("string").alias("label"), "molblock")
 
 

@@ -339,6 +339,36 @@ def test_sequence_and_molecule_files(spark, tmp_path):
     assert all(len(r["item"]) >= 1 for r in prints.collect())
 
 
+def test_line_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """Records cross splits, and files of several splits follow one another."""
+    from kinsplit.sources import edgelist
+
+    r = random.Random(6)
+    want, n = [], 0
+    for name in ("a.fasta", "b.fasta"):
+        text = "lost\n"
+        for _ in range(60):
+            seq = ["".join(r.choice("ACDEFGHIKL") for _ in range(r.randint(1, 70))) for _ in range(r.randint(0, 9))]
+            text += f">seq {n}\n" + "".join(x + r.choice(["\n", "\r\n", "\n\n"]) for x in seq)
+            want.append((n, f"seq {n}", "".join(seq)))
+            n += 1
+        (tmp_path / name).write_text(text)
+    molecules = [f"mol {i}\n" + "line\n" * r.randint(1, 30) + "M  END\n" for i in range(50)]
+    (tmp_path / "m.sdf").write_text("$$$$\n".join(molecules) + "$$$$\n")
+    edges = [(i, i + 1, i / 4) for i in range(1000)]
+    store(spark, 1001, edges).save(str(tmp_path / "e.edgestr"))
+    monkeypatch.setattr(edgelist, "PIECE", 12 * 70)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert [tuple(x) for x in sequences.read_fasta(spark, str(tmp_path / "*.fasta")).orderBy("id").collect()] == want
+        assert [tuple(x) for x in sequences.read_sdf(spark, str(tmp_path / "m.sdf")).orderBy("id").collect()] == [(i, str(i), m) for i, m in enumerate(molecules)]
+        back = EdgeStore.load(str(tmp_path / "e.edgestr"), spark)
+        assert back.node_count == 1001 and list(back) == edges
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def pdb(path, xyz):
     path.write_text("".join(f"ATOM  {i:5d}  CA  ALA A{i:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           C\n" for i, (x, y, z) in enumerate(xyz, 1)))
     return str(path)
