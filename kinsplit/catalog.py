@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsplit.config import HNSWConfig, INWeightType, KernelVariant
+from kinsplit.config import CoverageMode, GlobalIdentityMode, HNSWConfig, INWeightType, KernelVariant
 from kinsplit.functions import fingerprints as fp
+from kinsplit.functions.kernels import TanimotoBit, TanimotoReal
 from kinsplit.operators import clusters, communities, proximity
 from kinsplit.operators.ann import HNSWState
 from kinsplit.operators.edges import EdgeStore
 from kinsplit.plans.ranking import numbered
-from kinsplit.plans.storage import materialize, shared_dir
+from kinsplit.plans.storage import forget_at_exit, materialize, shared_dir
 
 NEAR, KNN = 0.8, 5
 ALIKE = 0.5  # of token sets
@@ -137,12 +139,24 @@ def supply_strength(spark, d):
     return _rounded(EdgeStore(nodes, li).graph(INWeightType.Similarity).strengths(), "strength")
 
 
+def _kept(spark, d) -> DataFrame:
+    return numbered(_table(spark, d, "embeddings").where("label <= 2").select(F.col("vec_id").alias("old_id")), "new_id", "old_id")
+
+
 def subgraph(spark, d):
-    kept = numbered(_table(spark, d, "embeddings").where("label <= 2").select(F.col("vec_id").alias("old_id")), "new_id", "old_id")
-    g, _ = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement).subgraph(kept)
+    g, _ = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement).subgraph(_kept(spark, d))
     return _rounded(g.store.edges, "weight")
 
 
+def subgraph_mapping(spark, d):
+    return _saved(_store(spark, d)).graph().subgraph(_kept(spark, d))[1]
+
+
+def degree(spark, d):
+    """Neighbours of every vertex, as many as its list holds."""
+    return _saved(_store(spark, d)).graph().adjacency().select("id", F.size("neighbors").cast("long").alias("degree"))
+
+
 # ---- clusters
 
 
@@ -184,29 +198,134 @@ def partition_filtered(spark, d):
 
 
 def communities_invariants(spark, d):
-    """Communities that span components (none), and whether modularity beats components and single vertices."""
+    """Communities that span components (none), the modularity of components, and whether that of communities is no less."""
     g = _saved(_store(spark, d)).graph(INWeightType.SimilarityComplement)
     comp, com = materialize(clusters.find_components(g), "components"), materialize(communities.find_communities(g, n_iterations=0), "communities")
     crossing = com.join(comp.withColumnRenamed("cluster", "component"), "id").groupBy("cluster").agg(F.countDistinct("component").alias("n")).where("n > 1").count()
-    q = communities.modularity(g, com)
+    q, base = communities.modularity(g, com), communities.modularity(g, comp)
     single = communities.modularity(g, g.vertices.withColumn("cluster", F.col("id")))
-    return spark.createDataFrame([(crossing, com.count() == g.n, q >= communities.modularity(g, comp) - 1e-9, q >= single)], "crossing long, whole boolean, beats_components boolean, beats_singletons boolean")
+    row = (crossing, com.count(), round(base, 6), round(single, 6), q >= max(base, single) - 1e-9)
+    return spark.createDataFrame([row], "crossing long, vertices long, components_modularity double, singletons_modularity double, no_less boolean")
 
 
 # ---- approximate index
 
 
+def _index(spark, d) -> HNSWState:
+    return HNSWState(KernelVariant.TanimotoReal, _vectors(spark, d), config=HNSWConfig(proximity_threshold=NEAR)).build()
+
+
 def ann_quality(spark, d):
-    """Edges of the index that the exact ones lack or differ from (none), and whether it finds nine tenths of edges and neighbours."""
-    v = _vectors(spark, d)
-    state = HNSWState(KernelVariant.TanimotoReal, v, config=HNSWConfig(proximity_threshold=NEAR)).build()
+    """Exact edges, edges of the index that those lack or differ from (none), and whether it finds nine tenths of edges and neighbours."""
+    v, state = _vectors(spark, d), _index(spark, d)
     exact, found = materialize(_store(spark, d).edges, "exact"), state.edges().edges
     right = found.withColumnRenamed("weight", "w").join(exact, ["src", "dst"]).where("abs(w - weight) < 1e-9").count()
     n, m = found.count(), exact.count()
     near = state.search(v, KNN).select("query_id", "ref_id")
     true = proximity.exact_nearest_neighbors(KernelVariant.TanimotoReal, v, v, KNN).select("query_id", "ref_id")
     hits, all_ = near.join(true, ["query_id", "ref_id"]).count(), true.count()
-    return spark.createDataFrame([(n - right, right >= 0.9 * m, hits >= 0.9 * all_)], "wrong long, edge_recall boolean, neighbor_recall boolean")
+    return spark.createDataFrame([(m, all_, n - right, right >= 0.9 * m, hits >= 0.9 * all_)], "exact_edges long, exact_neighbors long, wrong long, edge_recall boolean, neighbor_recall boolean")
+
+
+def index_fields(spark, d):
+    """Size, layers and shape of an index: every item has a list in the lowest layer, and no list names its own item."""
+    state = _index(spark, d)
+    index, low = state.index, state.get_layer(0)
+    own = low.where(F.array_contains("neighbors", F.col("id"))).count()
+    return spark.createDataFrame([(index.dataset_size, index.max_layers, len(index.layers), low.count(), own, state.is_built, len(index.entry_point))], "dataset_size long, max_layers long, layers long, in_lowest long, own long, is_built boolean, entries long")
+
+
+def index_save_load(spark, d):
+    """A saved index, loaded again: its fields, and whether it has the same edges and finds the same neighbours."""
+    path, v, state = f"{shared_dir(spark)}/kinsplit/index-{uuid.uuid4().hex}", _vectors(spark, d), _index(spark, d)
+    forget_at_exit(spark, path)
+    state.save(path)
+    back = HNSWState.load(KernelVariant.TanimotoReal, path, v)
+    edges = [s.edges().edges.agg(F.count(F.lit(1)), F.round(F.sum("weight"), 6)).first() for s in (state, back)]
+    few = v.where("id < 20")
+    found = [sorted(map(tuple, s.search(few, 3).select("query_id", "rank", "ref_id").collect())) for s in (state, back)]
+    return spark.createDataFrame([(back.index.dataset_size, edges[0] == edges[1], found[0] == found[1], len(found[1]))], "dataset_size long, same_edges boolean, same_neighbors boolean, found long")
+
+
+def incremental_edges(spark, d):
+    """Edges that the vectors with odd ids bring to those with even ones."""
+    from kinsplit.streaming.incremental import new_edges
+
+    v = _vectors(spark, d)
+    return _rounded(new_edges(KernelVariant.TanimotoReal, v.where("id % 2 = 0"), v.where("id % 2 = 1"), NEAR), "weight")
+
+
+# ---- published fixtures: sequences and structures whose distances are known
+
+# Sequences of the public tests.
+F1 = ["ACDEFGHIKLMNPQRSTVWY", "ACDAFGHKILMNPQRSTVWY", "ACDEFGHIPLMNPQRSTVWY", "ACDEFGHIKLMIJKPPWY", "GGLLPLPKLMNKKKSTVGG"]
+F3 = [("AEP", "PPP"), ("PEA", "AEA"), ("ACDEFGHIKLM", "ACDEFGHIKLM")]
+
+
+def _literal(spark, values) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(values)), "id long, item string")
+
+
+def global_align_fixture(spark, d):
+    return proximity.exact_edges(KernelVariant.AlignmentGlobal, _literal(spark, F1), 0.8).edges.withColumn("weight", F.round("weight", 4))
+
+
+def global_align_threshold(spark, d):
+    """The pair at exactly the threshold is no edge."""
+    return proximity.exact_edges(KernelVariant.AlignmentGlobal, _literal(spark, F1), 0.5).edges.select("src", "dst")
+
+
+def global_align_fixture_knn(spark, d):
+    v = _literal(spark, F1)
+    return proximity.exact_nearest_neighbors(KernelVariant.AlignmentGlobal, v.where("id > 2"), v.where("id <= 2"), 2).withColumn("distance", F.round("distance", 4))
+
+
+def global_align_fixture_zip(spark, d):
+    a, b = (_literal(spark, [p[i] for p in F3]) for i in (0, 1))
+    return proximity.zip_kernel(KernelVariant.AlignmentGlobal, a, b).withColumn("distance", F.round("distance", 4))
+
+
+def _modes(spark, kernel, modes, pairs, **options) -> DataFrame:
+    """(mode, id, distance) of zipped pairs under each mode."""
+    a, b = (_literal(spark, [p[i] for p in pairs]) for i in (0, 1))
+    out = None
+    for name, mode in modes:
+        one = proximity.zip_kernel(kernel, a, b, **mode, **options).select(F.lit(name).alias("mode"), "id", F.round("distance", 4).alias("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def global_identity_modes(spark, d):
+    pairs = [("MKTAYIAK", "MKTAYIAKQR"), ("AAAA", "AAAA"), ("ACDE", "ACE")]
+    return _modes(spark, KernelVariant.AlignmentGlobal, [(m.name, {"identity_mode": m}) for m in GlobalIdentityMode], pairs)
+
+
+def local_coverage_modes(spark, d):
+    """A whole sequence inside a longer one: which coverage lets it pass."""
+    pairs = [("GGGMKTAYIAKGGG", "MKTAYIAK"), ("MKTAYIAK", "MKTAYIAK"), ("MKTAYIAK", "GGGMKTAYIAKGGG")]
+    return _modes(spark, KernelVariant.AlignmentLocal, [(m.name, {"cov_mode": m}) for m in CoverageMode], pairs, min_coverage=0.8)
+
+
+def _pdb(xyz) -> str:
+    return "".join(f"ATOM  {i:5d}  CA  ALA A{i:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00           C\n" for i, (x, y, z) in enumerate(xyz, 1))
+
+
+def structure_distance(spark, d):
+    """A helix against itself, moved and turned: distance 0."""
+    helix = [(2.3 * math.cos(1.745 * i), 2.3 * math.sin(1.745 * i), 1.5 * i) for i in range(40)]
+    moved = [(z + 5, x - 3, y + 1) for x, y, z in helix]
+    a, b = _literal(spark, [_pdb(helix), _pdb(helix)]), _literal(spark, [_pdb(helix), _pdb(moved)])
+    return proximity.zip_kernel(KernelVariant.Structure, a, b).select("id", (F.round("distance", 3) + 0.0).alias("distance"))
+
+
+def fingerprint_objects(spark, d):
+    """Lengths, counts and norms of fingerprints made from lists and arrays, and two distances of the documentation."""
+    bits = [True, False, True, True, False]
+    b, r = fp.BitFingerprint(bits), fp.RealFingerprint([1.0, 0.0, 2.0])
+    same = fp.BitFingerprint.from_np(b.to_np()).to_list() == bits and list(fp.RealFingerprint.from_np(r.to_np()).to_list()) == [1.0, 0.0, 2.0]
+    tb = TanimotoBit()(fp.BitFingerprint([True, False, True, True]), fp.BitFingerprint([True, True, True, False]))
+    tr = TanimotoReal()(fp.RealFingerprint([1.0, 0.0, 1.0]), fp.RealFingerprint([0.0, 1.0, 1.0]))
+    return spark.createDataFrame([(len(b), b.count(), float(r.norm_sq()), same, round(tb, 4), round(tr, 4))], "length long, on_bits long, norm_sq double, round_trip boolean, bit_distance double, real_distance double")
 
 
 # ---- files
@@ -249,8 +368,44 @@ def edge_table_round_trip(spark, d):
     return _rounded(back.edges, "weight")
 
 
+def edge_records_round_trip(spark, d):
+    """Binary records hold single precision."""
+    path = f"{shared_dir(spark)}/kinsplit/files-{uuid.uuid4().hex}.edgestr"
+    forget_at_exit(spark, path)
+    store = _saved(_store(spark, d))
+    store.save(path)
+    back = EdgeStore.load(path, spark)
+    return back.edges.select("src", "dst", F.round("weight", 4).alias("weight"), F.lit(back.node_count).cast("long").alias("nodes"))
+
+
+def sdf_read(spark, d):
+    from kinsplit.sources.sequences import read_sdf
+
+    return read_sdf(spark, _file(spark, ["one", "M  END", "$$$$", "two", "", "M  END", "$$$$", ""], "sdf"))
+
+
+def molecule_file_read(spark, d):
+    """By extension, and hashed n-grams of the strings."""
+    from kinsplit.sources.sequences import read_molecule_file, text_fingerprints
+
+    path = f"{shared_dir(spark)}/kinsplit/files-{uuid.uuid4().hex}.smi"
+    forget_at_exit(spark, path)
+    spark.createDataFrame([("c1ccccc1 benzene\nCCO\nCC",)], "t string").coalesce(1).write.text(path)
+    return text_fingerprints(read_molecule_file(spark, path), "smiles").select("id", "label", "smiles", F.size("item").cast("long").alias("on_bits"))
+
+
+def pdb_read(spark, d):
+    from kinsplit.functions.structure import parse_pdb
+    from kinsplit.sources.sequences import read_pdb
+
+    lines = _pdb([(1.0, 2.0, 3.0), (4.5, -5.0, 6.25)]).splitlines()
+    read = read_pdb(spark, _file(spark, [*lines, "END"], "pdb"))
+    xyz = [(r["id"], *map(float, p)) for r in read.collect() for p in parse_pdb(r["item"])[1]]
+    return spark.createDataFrame(xyz, "id long, x double, y double, z double")
+
+
 def queries() -> dict:
-    fs = [tanimoto_real_zip, tanimoto_real_edges, tanimoto_real_knn, tanimoto_bit_zip, tanimoto_bit_edges, tanimoto_bit_knn, bit_fingerprint, global_align_edges, global_align_knn, global_align_zip, local_align_edges, graph_summary, weight_mapping, neighbors, strength, supply_strength, subgraph, components, component_sizes, order_components, largest_cluster, partition, partition_filtered, communities_invariants, ann_quality, fasta_read, smi_read, csv_mol_read, edgelist_round_trip, edge_table_round_trip]
+    fs = [tanimoto_real_zip, tanimoto_real_edges, tanimoto_real_knn, tanimoto_bit_zip, tanimoto_bit_edges, tanimoto_bit_knn, bit_fingerprint, global_align_edges, global_align_knn, global_align_zip, local_align_edges, global_align_fixture, global_align_threshold, global_align_fixture_knn, global_align_fixture_zip, global_identity_modes, local_coverage_modes, structure_distance, fingerprint_objects, graph_summary, weight_mapping, neighbors, strength, supply_strength, degree, subgraph, subgraph_mapping, components, component_sizes, order_components, largest_cluster, partition, partition_filtered, communities_invariants, ann_quality, index_fields, index_save_load, incremental_edges, fasta_read, smi_read, csv_mol_read, sdf_read, molecule_file_read, pdb_read, edgelist_round_trip, edge_table_round_trip, edge_records_round_trip]
     return {f.__name__: f for f in fs}
 
 
@@ -295,11 +450,30 @@ def oracle_sql() -> dict[str, str]:
         "largest_cluster": f"{_C} {sizes} ORDER BY size DESC, cluster LIMIT 1",
         "partition": _split_sql("SELECT id, cluster FROM c", False),
         "partition_filtered": _split_sql("SELECT id, CAST(label AS BIGINT) AS cluster FROM v", True),
-        "communities_invariants": "SELECT 0::BIGINT AS crossing, true AS whole, true AS beats_components, true AS beats_singletons",
-        "ann_quality": "SELECT 0::BIGINT AS wrong, true AS edge_recall, true AS neighbor_recall",
+        "communities_invariants": f"{_C}, k AS (SELECT v, sum(w) AS k FROM (SELECT src AS v, 1 - weight AS w FROM e UNION ALL SELECT dst, 1 - weight FROM e) GROUP BY v), t AS (SELECT sum(k) AS t, sum(k * k) AS kk FROM k), q AS (SELECT sum(s * s) AS q FROM (SELECT sum(k) AS s FROM k JOIN c ON c.id = k.v GROUP BY cluster)) SELECT 0::BIGINT AS crossing, (SELECT count(*) FROM embeddings) AS vertices, round(1 - q / (t * t), 6) AS components_modularity, round(-kk / (t * t), 6) AS singletons_modularity, true AS no_less FROM t, q",
+        "ann_quality": f"WITH {_E} SELECT count(*) AS exact_edges, (SELECT count(*) * {KNN} FROM embeddings) AS exact_neighbors, 0::BIGINT AS wrong, true AS edge_recall, true AS neighbor_recall FROM e",
+        "index_fields": f"WITH n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT n, CAST(ceil(ln(n) * {HNSWConfig().m_l}) AS BIGINT) + 2 AS l FROM n) SELECT n AS dataset_size, l AS max_layers, l AS layers, n AS in_lowest, 0::BIGINT AS own, true AS is_built, 1::BIGINT AS entries FROM m",
+        "index_save_load": "SELECT count(*) AS dataset_size, true AS same_edges, true AS same_neighbors, 60::BIGINT AS found FROM embeddings",
+        "incremental_edges": f"WITH {_E} SELECT src, dst, round(weight, 6) AS weight FROM e WHERE src % 2 = 1 OR dst % 2 = 1",
+        "global_align_fixture": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 0.15::DOUBLE), (0, 2, 0.05), (0, 3, 0.35), (0, 4, 0.6522), (1, 2, 0.15), (1, 3, 0.5), (1, 4, 0.7), (2, 3, 0.4), (2, 4, 0.6522), (3, 4, 0.7826)) t(src, dst, weight)",
+        "global_align_threshold": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (0, 2), (0, 3), (1, 2), (2, 3)) t(src, dst)",
+        "global_align_fixture_knn": "SELECT * FROM (VALUES (3::BIGINT, 1::INTEGER, 0::BIGINT, 0.35::DOUBLE), (3, 2, 2, 0.4), (4, 1, 0, 0.6522), (4, 2, 2, 0.6522)) t(query_id, rank, ref_id, distance)",
+        "global_align_fixture_zip": "SELECT * FROM (VALUES (0::BIGINT, 0.6667::DOUBLE), (1, 0.3333), (2, 0.0)) t(id, distance)",
+        # 8 matches of an alignment of 10; 3 of one of 4
+        "global_identity_modes": "SELECT * FROM (VALUES ('AlignmentLength', 0::BIGINT, 0.2::DOUBLE), ('AlignmentLength', 1, 0), ('AlignmentLength', 2, 0.25), ('MaxSeqLength', 0, 0.2), ('MaxSeqLength', 1, 0), ('MaxSeqLength', 2, 0.25), ('MinSeqLength', 0, 0), ('MinSeqLength', 1, 0), ('MinSeqLength', 2, 0), ('MaxLength', 0, 0.2), ('MaxLength', 1, 0), ('MaxLength', 2, 0.25)) t(mode, id, distance)",
+        # all 8 residues of one are 8 of the other's 14: the long first sequence is the reference (target), then the query
+        "local_coverage_modes": "SELECT * FROM (VALUES ('BothQueryTarget', 0::BIGINT, 1.0::DOUBLE), ('BothQueryTarget', 1, 0), ('BothQueryTarget', 2, 1), ('Target', 0, 1), ('Target', 1, 0), ('Target', 2, 0), ('Query', 0, 0), ('Query', 1, 0), ('Query', 2, 1), ('LengthRatio', 0, 1), ('LengthRatio', 1, 0), ('LengthRatio', 2, 1), ('ShorterSeq', 0, 0), ('ShorterSeq', 1, 0), ('ShorterSeq', 2, 0)) t(mode, id, distance)",
+        "structure_distance": "SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 0.0)) t(id, distance)",
+        "fingerprint_objects": "SELECT 5::BIGINT AS length, 3::BIGINT AS on_bits, 5.0::DOUBLE AS norm_sq, true AS round_trip, 0.5::DOUBLE AS bit_distance, 0.6667::DOUBLE AS real_distance",
+        "degree": f"WITH {_E}, s AS (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) SELECT id, count(s.v) AS degree FROM v LEFT JOIN s ON s.v = v.id GROUP BY id",
+        "subgraph_mapping": "SELECT vec_id AS old_id, row_number() OVER (ORDER BY vec_id) - 1 AS new_id FROM embeddings WHERE label <= 2",
         "fasta_read": "SELECT * FROM (VALUES (0::BIGINT, 'seq1 first protein', 'ACDEFGHI'), (1, 'seq2', 'PQRSTVWY'), (2, 'empty', '')) t(id, header, sequence)",
         "smi_read": "SELECT * FROM (VALUES (0::BIGINT, 'benzene', 'c1ccccc1'), (1, '3', 'CC(=O)O'), (2, 'ethyl alcohol', 'CCO')) t(id, label, smiles)",
         "csv_mol_read": "SELECT * FROM (VALUES (0::BIGINT, 'benzene', 'c1ccccc1'), (1, 'water', 'O')) t(id, label, smiles)",
         "edgelist_round_trip": edges,
         "edge_table_round_trip": edges,
+        "edge_records_round_trip": f"WITH {_E} SELECT src, dst, round(CAST(CAST(weight AS FLOAT) AS DOUBLE), 4) AS weight, (SELECT count(*) FROM embeddings) AS nodes FROM e",
+        "sdf_read": "SELECT * FROM (VALUES (0::BIGINT, '0', 'one' || chr(10) || 'M  END' || chr(10)), (1, '1', 'two' || chr(10) || chr(10) || 'M  END' || chr(10))) t(id, label, molblock)",
+        "molecule_file_read": "SELECT * FROM (VALUES (0::BIGINT, 'benzene', 'c1ccccc1', 4::BIGINT), (1, '1', 'CCO', 1), (2, '2', 'CC', 1)) t(id, label, smiles, on_bits)",
+        "pdb_read": "SELECT * FROM (VALUES (0::BIGINT, 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE), (0, 4.5, -5.0, 6.25)) t(id, x, y, z)",
     }
