@@ -106,8 +106,82 @@ def op10_toxicity(spark: SparkSession, sf_dir: str, fairness: float = 1.0) -> Da
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+# ---- what SQL can say of operators whose full result it cannot
+
+
+def edited_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets, and whether what a document gives is 0, 1 or 2 times its size."""
+    out = op8_source_mixing(spark, sf_dir)
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), F.col("taken").isin(F.lit(0), F.col("size"), 2 * F.col("size")).alias("whole_copies"))
+
+
+def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by target, and whether their words came within a hundredth of it."""
+    out = op8_source_mixing(spark, sf_dir).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("documents"))
+    return out.select("source_size", F.round("target", 4).alias("target"), "documents", (F.abs(F.col("taken") - F.col("target")) <= 0.01 * F.col("target") + 1).alias("near"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op9_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id), '') AS n, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents),
+f AS (SELECT coalesce(text, '') AS first_text FROM documents ORDER BY doc_id LIMIT 1),
+e AS (SELECT doc_id, t, CASE WHEN r = 1 THEN first_text ELSE n END AS n, length(t) AS c FROM d, f)
+SELECT doc_id, c AS n_chars, sha256(left(t, c - c // 4) || left(n, c // 4)) AS edited_sha256 FROM e
+"""
+
+SECRET_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM d
+"""
+
+_TARGETS = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source IS NULL, encode(source)) AS r FROM w),
+l AS (SELECT a.source, a.w, a.cap, a.r, (a.total - coalesce(sum(b.cap), 0)) / (coalesce(sum(b.w), 0) * -1 + (SELECT sum(w) FROM w)) AS level FROM c a LEFT JOIN c b ON b.r < a.r GROUP BY a.source, a.w, a.cap, a.r, a.total),
+f AS (SELECT min(r) AS r FROM l WHERE level * w < cap),
+t AS (SELECT l.source, CASE WHEN f.r IS NULL OR l.r < f.r THEN l.cap ELSE l.w * (SELECT level FROM l JOIN f ON l.r = f.r) END AS target FROM l, f)
+"""
+TARGETS_SQL = _TARGETS + "SELECT doc_id, size, source_size, round(target, 4) AS target, true AS whole_copies FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN t ON d.source IS NOT DISTINCT FROM t.source"
+SOURCES_SQL = _TARGETS + "SELECT source_size, round(target, 4) AS target, documents, true AS near FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source"
+
+RULES_SQL = r"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS a FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(a, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+  WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rule_verdict FROM r
+"""
+
+
 def queries() -> dict:
     return {
+        "edited_digests": edited_digests,
+        "secret_counts": secret_counts,
+        "mixing_targets": mixing_targets,
+        "mixing_sources": mixing_sources,
+        "url_rules": url_rules,
         "op1_exact_dedup": op1_exact_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op3_fingerprints": op3_fingerprints,
@@ -122,4 +196,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "edited_digests": EDITED_SQL, "secret_counts": SECRET_SQL, "mixing_targets": TARGETS_SQL, "mixing_sources": SOURCES_SQL, "url_rules": RULES_SQL}

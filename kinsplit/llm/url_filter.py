@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinsplit.plans.names import column
+
 # The rules (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -109,7 +111,8 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     """One row per input row: page_id, host, path, rule, verdict, score (null where a rule decides).
 
     A null url, or one without ``://``, has an empty host and path, which fit no rule and are scored like others.
-    Rows with equal or null ids are rows of their own.
+    Rows with equal or null ids are rows of their own, and urls may be of any length. Other columns are not looked at,
+    whatever their names. An empty table gives no rows.
     """
     w, b = train(labelled)
     w = w.astype(np.float32)
@@ -119,8 +122,8 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         for host, path, rule in parts:
             yield pd.Series([None if r is not None else block_probability(h, p, w, b) for h, p, r in zip(host, path, rule)], dtype="float64")
 
-    host, path = url_parts(F.col(f"`{url_col}`"))
-    rows = df.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = url_parts(column(url_col))
+    rows = df.select(column(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("score", score("host", "path", "rule"))
     method = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))

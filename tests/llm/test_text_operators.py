@@ -269,6 +269,35 @@ def test_url_rules_and_method(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def brute_url(url, w, b):
+    """(host, path, rule, verdict) step by step, with a plain sum of weights."""
+    from zlib import crc32
+
+    after = url.split("://", 1)[1] if url and "://" in url else ""
+    end = next((k for k, c in enumerate(after) if c in "/?#"), len(after))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in after[:end])
+    path = re.split(r"[?#]", after[end:], maxsplit=1)[0]
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    grams = set()
+    for mark, text in (("h", "^" + re.sub("[0-9]+", "0", host) + "$"), ("p", "^" + re.sub("[0-9]+", "0", path.lower()) + "$")):
+        grams |= {crc32((mark + text[k : k + n]).encode()) % url_filter.BUCKETS for n in (3, 4, 5) for k in range(len(text) - n + 1)}
+    score = b + sum(float(w[g]) for g in grams) / max(1, len(grams)) ** 0.5
+    return host, path, None, "block" if score >= 0 else "allow"
+
+
+def test_url_filter_matches_brute_force(spark):
+    r = random.Random(12)
+    parts = ["www.", "m.", "casino", "news", "free-bets", "example", ".org", ".com", ".net", "EX", "/", "/es/", "/fr/", "/de/", "/en/1", "/en/12", "?q=1", "#t", "://", "http://", "https://", "é", " ", "9"]
+    urls = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(1500)] + [f"http://{r.choice(['', 'a.', 'notexample.', 'x.example.'])}{r.choice(['org', 'com', 'example.org', 'net'])}{r.choice(['', '/', '/es/1', '/en/1', '/fr/x', '/de/x', '/en/2'])}" for _ in range(500)] + [None, "http://" + "a" * 50_000 + "/x"]
+    df = spark.createDataFrame([(i % 1900, u, "h", "p") for i, u in enumerate(urls)], ["page_id", "url", "host", "a.b"])
+    w, b = url_filter.train()
+    got = sorted((x["page_id"], x["host"], x["path"], str(x["rule"]), x["verdict"]) for x in url_filter.filter_urls(df).collect())
+    want = sorted((i % 1900, h, p, str(rule), v) for i, u in enumerate(urls) for h, p, rule, v in [brute_url(u, w, b)])
+    assert got == want
+
+
 def test_url_model_on_held_out_urls():
     w, b = url_filter.train()
     good = ["http://readme.example.net/en/3", "https://news.city.example/story/5", "https://www.thebook.example.org/fr/2"]
