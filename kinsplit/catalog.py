@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsplit.config import CoverageMode, GlobalIdentityMode, HNSWConfig, INWeightType, KernelVariant
 from kinsplit.functions import fingerprints as fp
-from kinsplit.functions.kernels import TanimotoBit, TanimotoReal
+from kinsplit.functions.alignment import GlobalAligner
+from kinsplit.functions.kernels import TanimotoBit, TanimotoReal, make_kernel
 from kinsplit.operators import clusters, communities, proximity
 from kinsplit.operators.ann import HNSWState
 from kinsplit.operators.edges import EdgeStore
@@ -93,6 +94,20 @@ def global_align_edges(spark, d):
     return _rounded(proximity.exact_edges(KernelVariant.AlignmentGlobal, _names(spark, d), 0.6).edges, "weight")
 
 
+def global_align_pruned(spark, d):
+    """Pairs of names to decide, and edges that pruning by length loses or adds (none)."""
+    class Unpruned(type(make_kernel(KernelVariant.AlignmentGlobal))):
+        def bound(self, small, large):
+            return 1.0
+
+    names = materialize(_names(spark, d), "names")
+    plain = proximity.exact_edges(Unpruned(GlobalAligner()), names, 0.6).edges
+    pruned = proximity.exact_edges(KernelVariant.AlignmentGlobal, names, 0.6).edges
+    n = names.count()
+    lost, added = plain.exceptAll(pruned).count(), pruned.exceptAll(plain).count()
+    return spark.createDataFrame([(n, proximity.exact_edges_total(n), lost, added)], "names long, pairs long, lost long, added long")
+
+
 def global_align_knn(spark, d):
     v = _names(spark, d)
     return _rounded(proximity.exact_nearest_neighbors(KernelVariant.AlignmentGlobal, v, v, 3), "distance")
@@ -405,7 +420,7 @@ def pdb_read(spark, d):
 
 
 def queries() -> dict:
-    fs = [tanimoto_real_zip, tanimoto_real_edges, tanimoto_real_knn, tanimoto_bit_zip, tanimoto_bit_edges, tanimoto_bit_knn, bit_fingerprint, global_align_edges, global_align_knn, global_align_zip, local_align_edges, global_align_fixture, global_align_threshold, global_align_fixture_knn, global_align_fixture_zip, global_identity_modes, local_coverage_modes, structure_distance, fingerprint_objects, graph_summary, weight_mapping, neighbors, strength, supply_strength, degree, subgraph, subgraph_mapping, components, component_sizes, order_components, largest_cluster, partition, partition_filtered, communities_invariants, ann_quality, index_fields, index_save_load, incremental_edges, fasta_read, smi_read, csv_mol_read, sdf_read, molecule_file_read, pdb_read, edgelist_round_trip, edge_table_round_trip, edge_records_round_trip]
+    fs = [tanimoto_real_zip, tanimoto_real_edges, tanimoto_real_knn, tanimoto_bit_zip, tanimoto_bit_edges, tanimoto_bit_knn, bit_fingerprint, global_align_edges, global_align_pruned, global_align_knn, global_align_zip, local_align_edges, global_align_fixture, global_align_threshold, global_align_fixture_knn, global_align_fixture_zip, global_identity_modes, local_coverage_modes, structure_distance, fingerprint_objects, graph_summary, weight_mapping, neighbors, strength, supply_strength, degree, subgraph, subgraph_mapping, components, component_sizes, order_components, largest_cluster, partition, partition_filtered, communities_invariants, ann_quality, index_fields, index_save_load, incremental_edges, fasta_read, smi_read, csv_mol_read, sdf_read, molecule_file_read, pdb_read, edgelist_round_trip, edge_table_round_trip, edge_records_round_trip]
     return {f.__name__: f for f in fs}
 
 
@@ -455,6 +470,7 @@ def oracle_sql() -> dict[str, str]:
         "index_fields": f"WITH n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT n, CAST(ceil(ln(n) * {HNSWConfig().m_l}) AS BIGINT) + 2 AS l FROM n) SELECT n AS dataset_size, l AS max_layers, l AS layers, n AS in_lowest, 0::BIGINT AS own, true AS is_built, 1::BIGINT AS entries FROM m",
         "index_save_load": "SELECT count(*) AS dataset_size, true AS same_edges, true AS same_neighbors, 60::BIGINT AS found FROM embeddings",
         "incremental_edges": f"WITH {_E} SELECT src, dst, round(weight, 6) AS weight FROM e WHERE src % 2 = 1 OR dst % 2 = 1",
+        "global_align_pruned": "WITH n AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT n AS names, CAST(n * (n - 1) / 2 AS BIGINT) AS pairs, 0::BIGINT AS lost, 0::BIGINT AS added FROM n",
         "global_align_fixture": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 0.15::DOUBLE), (0, 2, 0.05), (0, 3, 0.35), (0, 4, 0.6522), (1, 2, 0.15), (1, 3, 0.5), (1, 4, 0.7), (2, 3, 0.4), (2, 4, 0.6522), (3, 4, 0.7826)) t(src, dst, weight)",
         "global_align_threshold": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (0, 2), (0, 3), (1, 2), (2, 3)) t(src, dst)",
         "global_align_fixture_knn": "SELECT * FROM (VALUES (3::BIGINT, 1::INTEGER, 0::BIGINT, 0.35::DOUBLE), (3, 2, 2, 0.4), (4, 1, 0, 0.6522), (4, 2, 2, 0.6522)) t(query_id, rank, ref_id, distance)",

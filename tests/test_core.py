@@ -236,6 +236,32 @@ def test_communities(spark):
     assert communities.modularity(g, communities.find_communities(g)) > 0.5
 
 
+def test_communities_of_a_giant_component(spark, monkeypatch):
+    """A component over the bound of a task is condensed by rounds over tables: connected communities of like quality."""
+    r = random.Random(2)
+    edges = {(a, b) for g in range(8) for a in range(g * 15, g * 15 + 15) for b in range(a + 1, g * 15 + 15) if r.random() < 0.5}
+    edges |= {tuple(sorted(r.sample(range(120), 2))) for _ in range(40)} | {(200, 201), (201, 202)}
+    g = store(spark, 210, [(a, b, 1.0) for a, b in sorted(edges)]).graph(INWeightType.Similarity)
+    plain = communities.modularity(g, communities.find_communities(g))
+    monkeypatch.setattr(communities, "TASK_EDGES", 150)
+    found = communities.find_communities(g)
+    got = {x["id"]: x["cluster"] for x in found.collect()}
+    assert len(got) == 210 and communities.modularity(g, found) > 0.95 * plain > 0.3
+    near = {}
+    for a, b in edges:
+        if got[a] == got[b]:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    for c in set(got.values()):
+        mine = [v for v in got if got[v] == c]
+        seen, todo = {mine[0]}, [mine[0]]
+        while todo:
+            fresh = [u for u in near.get(todo.pop(), []) if u not in seen]
+            seen.update(fresh)
+            todo += fresh
+        assert seen == set(mine)
+
+
 def test_communities_of_large_ids(spark):
     edges = [(0, 1), (1, 2), (0, 2), (3, 4)]
     for base in (1, (1 << 60) + 1):
