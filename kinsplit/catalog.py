@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsplit.config import CoverageMode, GlobalIdentityMode, HNSWConfig, INWeightType, KernelVariant
+from kinsplit.config import CoverageMode, GlobalIdentityMode, HNSWConfig, INWeightType, KernelVariant, ScoringMatrix
 from kinsplit.functions import fingerprints as fp
 from kinsplit.functions.alignment import GlobalAligner
 from kinsplit.functions.kernels import TanimotoBit, TanimotoReal, make_kernel
+from kinsplit.functions.matrices import matrix_table
 from kinsplit.operators import clusters, communities, proximity
 from kinsplit.operators.ann import HNSWState
 from kinsplit.operators.edges import EdgeStore
@@ -441,6 +442,40 @@ def _split_sql(cluster: str, filtered: bool) -> str:
     return f"{_C}, k AS ({cluster}), m AS (SELECT DISTINCT cluster FROM k), ranked AS (SELECT cluster, row_number() OVER (ORDER BY md5('42:' || cluster), cluster) AS r FROM m), chosen AS (SELECT cluster FROM ranked WHERE r <= (SELECT ceil(CAST(0.3 AS FLOAT) * CAST(count(*) AS FLOAT)) FROM m)) {train} UNION ALL SELECT id, 'test' FROM k WHERE cluster IN (SELECT cluster FROM chosen)"
 
 
+def _align_sql(pairs: str, local: bool) -> str:
+    """Common table expressions up to ``found`` (id, matches, length) of the alignments of ``pairs`` (id, a, b), a cell a row, diagonal by diagonal.
+
+    A cell gets its upper neighbour's gap in b, its left one's gap in a, and the upper one's left neighbour as diagonal.
+    """
+    table, letters = matrix_table(ScoringMatrix.Blosum62), "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789#&-"
+    scores = ", ".join(f"('{x}{y}', {int(table[ord(x), ord(y)])})" for x in letters for y in letters)
+    low, h = -100000000, ("hs", "hm", "hl")
+
+    def gap(side: str, kind: str) -> str:
+        opened = f"{side}hs - 11 >= {side}{kind}s - 1"
+        return f"CASE WHEN {opened} THEN {side}hs - 11 ELSE {side}{kind}s - 1 END AS {kind}s, CASE WHEN {opened} THEN {side}hm ELSE {side}{kind}m END AS {kind}m, CASE WHEN {opened} THEN {side}hl ELSE {side}{kind}l END + 1 AS {kind}l"
+
+    got = ", ".join(f"max({c}) FILTER (src = '{side}') AS {side}{c}" for side, cs in (("u", (*h, "fs", "fm", "fl", "ls", "lm", "ll")), ("l", (*h, "es", "em", "el"))) for c in cs)
+    kind = "CASE WHEN i = 0 THEN 'e' WHEN j = 0 THEN 'f' WHEN es > greatest(ds, fs) THEN 'e' WHEN fs > ds THEN 'f' ELSE 'd' END"
+    value = lambda c: f"CASE k WHEN 'e' THEN e{c} WHEN 'f' THEN f{c} ELSE d{c} END"
+    if local:
+        value = lambda c: f"CASE WHEN i > 0 AND j > 0 AND CASE k WHEN 'e' THEN es WHEN 'f' THEN fs ELSE ds END > 0 THEN CASE k WHEN 'e' THEN e{c} WHEN 'f' THEN f{c} ELSE d{c} END ELSE 0 END"
+    carried = "id, a, b, d, i, j, hs, hm, hl, coalesce(es, {0}) AS es, coalesce(em, 0) AS em, coalesce(el, 0) AS el, coalesce(fs, {0}) AS fs, coalesce(fm, 0) AS fm, coalesce(fl, 0) AS fl, ls, lm, ll".format(low)
+    step = f"""SELECT {carried} FROM (SELECT *, {value('s')} AS hs, {value('m')} AS hm, {value('l')} AS hl, lhs AS ls, lhm AS lm, lhl AS ll FROM (SELECT *, {kind} AS k FROM (
+      SELECT *, {gap('u', 'f')}, {gap('l', 'e')}, uls + score AS ds, ulm + CAST(a[i] = b[j] AS INTEGER) AS dm, ull + 1 AS dl FROM (
+        SELECT id, a, b, d + 1 AS d, i + CAST(src = 'u' AS INTEGER) AS i, j + CAST(src = 'l' AS INTEGER) AS j, {got}
+        FROM cells CROSS JOIN (VALUES ('u'), ('l')) v(src) WHERE CASE src WHEN 'u' THEN i < length(a) ELSE j < length(b) END GROUP BY ALL) LEFT JOIN scores ON xy = a[i] || b[j])))"""
+    end = "SELECT id, first(hm ORDER BY hs DESC, d, i) FILTER (hs > 0) AS matches, coalesce(first(hl ORDER BY hs DESC, d, i) FILTER (hs > 0), 0) AS length, any_value(length(a)) AS la, any_value(length(b)) AS lb FROM cells GROUP BY id" if local else "SELECT id, hm AS matches, hl AS length, length(a) AS la, length(b) AS lb FROM cells WHERE i = length(a) AND j = length(b)"
+    start = f"SELECT id, a, b, 0, 0, 0, 0, 0, 0, {low}, 0, 0, {low}, 0, 0, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER FROM pairs"
+    return f"WITH RECURSIVE {pairs}, scores(xy, score) AS (VALUES {scores}), cells(id, a, b, d, i, j, hs, hm, hl, es, em, el, fs, fm, fl, ls, lm, ll) AS ({start} UNION ALL {step}), found AS ({end})"
+
+
+_N = "names AS (SELECT min(p_partkey) AS id, upper(p_name) AS s FROM part GROUP BY p_name), pairs AS (SELECT {id} AS id, q.s AS a, r.s AS b FROM names r CROSS JOIN names q {where})"
+_BOTH = "r.id * 1000000 + q.id"
+_GLOBAL = "round(1 - matches / greatest(la, lb, length)::DOUBLE, 6)"
+_LOCAL = "round(CASE WHEN length = 0 OR least(length / la::DOUBLE, length / lb::DOUBLE) < 0.5 THEN 1 ELSE 1 - matches / length::DOUBLE END, 6)"
+
+
 def oracle_sql() -> dict[str, str]:
     edges = f"WITH {_E} SELECT src, dst, round(weight, 6) AS weight FROM e"
     sizes = "SELECT cluster, count(*) AS size FROM c GROUP BY cluster"
@@ -470,6 +505,10 @@ def oracle_sql() -> dict[str, str]:
         "index_fields": f"WITH n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT n, CAST(ceil(ln(n) * {HNSWConfig().m_l}) AS BIGINT) + 2 AS l FROM n) SELECT n AS dataset_size, l AS max_layers, l AS layers, n AS in_lowest, 0::BIGINT AS own, true AS is_built, 1::BIGINT AS entries FROM m",
         "index_save_load": "SELECT count(*) AS dataset_size, true AS same_edges, true AS same_neighbors, 60::BIGINT AS found FROM embeddings",
         "incremental_edges": f"WITH {_E} SELECT src, dst, round(weight, 6) AS weight FROM e WHERE src % 2 = 1 OR dst % 2 = 1",
+        "global_align_edges": _align_sql(_N.format(id=_BOTH, where="WHERE r.id < q.id"), False) + f" SELECT id // 1000000 AS src, id % 1000000 AS dst, {_GLOBAL} AS weight FROM found WHERE {_GLOBAL} < 0.6",
+        "global_align_knn": _align_sql(_N.format(id=_BOTH, where=""), False) + f", k AS (SELECT id % 1000000 AS query_id, id // 1000000 AS ref_id, {_GLOBAL} AS distance FROM found), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM k) SELECT query_id, CAST(rank AS INTEGER) AS rank, ref_id, distance FROM o WHERE rank <= 3",
+        "global_align_zip": _align_sql("pairs AS (SELECT p_partkey AS id, upper(p_type) AS a, upper(p_name) AS b FROM part)", False) + f" SELECT id, {_GLOBAL} AS distance FROM found",
+        "local_align_edges": _align_sql(_N.format(id=_BOTH, where="WHERE r.id < q.id"), True) + f" SELECT id // 1000000 AS src, id % 1000000 AS dst, {_LOCAL} AS weight FROM found WHERE {_LOCAL} < 0.6",
         "global_align_pruned": "WITH n AS (SELECT count(DISTINCT p_name) AS n FROM part) SELECT n AS names, CAST(n * (n - 1) / 2 AS BIGINT) AS pairs, 0::BIGINT AS lost, 0::BIGINT AS added FROM n",
         "global_align_fixture": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 0.15::DOUBLE), (0, 2, 0.05), (0, 3, 0.35), (0, 4, 0.6522), (1, 2, 0.15), (1, 3, 0.5), (1, 4, 0.7), (2, 3, 0.4), (2, 4, 0.6522), (3, 4, 0.7826)) t(src, dst, weight)",
         "global_align_threshold": "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (0, 2), (0, 3), (1, 2), (2, 3)) t(src, dst)",
