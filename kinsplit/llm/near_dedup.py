@@ -312,7 +312,7 @@ def _verified(pairs: DataFrame, n_pairs: int, feats: DataFrame, threshold: float
     tasks = min(MOST_TASKS, max(12, -(-n_pairs // PAIRS_PER_TASK)))
     limit = hot_limit(n_pairs)
     hot = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("src", F.ceil(F.col("n") / limit).alias("salts"))
-    hot = materialize(hot, "hot", 1000)
+    hot = materialize(hot, "hot")
     a = feats.select(F.col("id").alias("src"), F.col("hs").alias("ha"), F.col("ws").alias("wa")).join(F.broadcast(hot), "src", "left")
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     b = feats.select(F.col("id").alias("dst"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
