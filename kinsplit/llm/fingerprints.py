@@ -101,8 +101,8 @@ def _sliced(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
     ids = ids.withColumn("coarse", coarse)
     fine = ids.groupBy("coarse").agg(F.percentile_approx("doc_id", [i / m for i in range(1, m + 1)], 10 * m).alias("fine"))
     sub = F.size(F.filter(F.coalesce("fine", F.array().cast("array<bigint>")), lambda c: c <= F.col("doc_id")))
-    firsts = ids.join(F.broadcast(materialize(fine, "cuts", MOST)), "coarse").groupBy("coarse", sub.alias("sub")).agg(F.min("doc_id").alias("first"))
-    table = materialize(firsts.groupBy("coarse").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "starts", MOST)
+    firsts = ids.join(F.broadcast(materialize(fine, "cuts")), "coarse").groupBy("coarse", sub.alias("sub")).agg(F.min("doc_id").alias("first"))
+    table = materialize(firsts.groupBy("coarse").agg(F.sort_array(F.collect_set("first")).alias("firsts")), "starts")
     base, at = [], 0
     for c, size in sorted((r["coarse"], r["n"]) for r in table.select("coarse", F.size("firsts").alias("n")).collect()):
         base.append((c, at))
@@ -124,7 +124,7 @@ def _neighbours(df: DataFrame, id_col: str, text_col: str, hashed: Callable[[Col
     first = rows.agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("f")).select("f.doc_id").first()
     lead_id = first[0] if first else None
     rows, last = _sliced(rows, df.count())
-    rows = rows.withColumn("hash", hashed(canonical(F.col("text"))))
+    rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("hash", hashed(F.col("canon"))).drop("canon")
     head = F.col("doc_id").eqNullSafe(F.lit(lead_id).cast("long"))
     place = lambda slice_, ghost: F.array(F.struct(slice_.cast("long").alias("slice"), F.lit(ghost).alias("ghost")))
     none = F.array().cast("array<struct<slice:bigint,ghost:int>>")
@@ -165,7 +165,9 @@ def fingerprint_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null first and ties by text. Other columns are not looked at, whatever their names. An empty table gives no rows.
     """
     near = _neighbours(df, id_col, text_col, hashed).withColumn("edited", edited_text())
-    both = near.select("doc_id", "next_id", F.xxhash64("text").alias("t"), F.xxhash64("next_text").alias("nt"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", hashed(canonical(F.col("edited"))).alias("e_hash"), "next_hash")
+    # a row is known by a hash of id and text, and what it finds is checked
+    known = [F.xxhash64("doc_id", "text").alias("t"), F.xxhash64("next_id", "next_text").alias("nt")]
+    both = near.withColumn("e_canon", canonical(F.col("edited"))).select("doc_id", *known, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "hash", hashed(F.col("e_canon")).alias("e_hash"), "next_hash")
     both = materialize(both, "fingerprints")
 
     # byte comparison inside equal buckets, of texts and edited texts alike; an edited text equal to its own text is there already
@@ -174,10 +176,12 @@ def fingerprint_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     canon = docs.select(canonical(F.col("text")).alias("canon"))
     texts = canon.withColumn("hash", hashed(F.col("canon"))).join(many, "hash", "left_semi").select("hash", "canon")
-    docs = docs.withColumn("k", F.xxhash64("text"))  # with the id, what a row is known by
-    edited = both.join(many, F.col("e_hash") == many["hash"], "left_semi").where("n_chars > 3").select("doc_id", "t", "next_id", "nt", "e_hash").distinct()
-    edited = edited.join(docs, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("k"))).select("next_id", "nt", "e_hash", "text")
-    edited = edited.join(docs.withColumnRenamed("text", "next_text"), F.col("next_id").eqNullSafe(F.col("id")) & (F.col("nt") == F.col("k"))).select("e_hash", canonical(edited_text()).alias("canon"))
+    docs = docs.select(F.xxhash64("id", "text").alias("k"), "text")
+    edited = both.join(many, F.col("e_hash") == many["hash"], "left_semi").where("n_chars > 3").select("t", "nt", "e_hash").distinct()
+    # both joins read one exchange of the documents, so these keep their names
+    edited = edited.join(docs, F.col("t") == F.col("k")).select("nt", "e_hash", F.col("text").alias("own"))
+    edited = edited.join(docs, F.col("nt") == F.col("k")).select("e_hash", F.col("own").alias("text"), F.col("text").alias("next_text"))
+    edited = edited.select("e_hash", canonical(edited_text()).alias("canon"))
     texts = texts.unionByName(edited.where(F.col("e_hash") == hashed(F.col("canon"))).select(F.col("e_hash").alias("hash"), "canon"))
     apart = collisions(texts)
     if apart.isEmpty():
