@@ -205,6 +205,17 @@ def test_star_forest_of_a_long_path(spark):
     assert {(r["node"], r["root"]) for r in star_forest(e).collect()} == {(i, 0) for i in range(101)}
 
 
+def test_signature_of_many_edges(spark):
+    """A sum of their hashes would not fit into a long."""
+    from pyspark.sql import functions as F
+
+    from kinsplit.operators.components import _signature
+
+    edges = spark.range(40_000_000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert _signature(edges)[0] == 40_000_000
+    assert _signature(edges.where("u < 5")) != _signature(edges.where("u between 1 and 5"))
+
+
 def test_partition(spark):
     edges = [(0, 1, 0.9), (1, 2, 0.8), (3, 4, 0.7), (4, 5, 0.6)]
     g = store(spark, 8, edges).graph()
