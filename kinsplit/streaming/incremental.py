@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinsplit.operators.proximity import exact_edges
+from kinsplit.functions.kernels import make_kernel
+from kinsplit.operators.proximity import _items, edges_among
 
 
 def new_edges(variant, known: DataFrame, batch: DataFrame, proximity_threshold: float = 0.5, **options) -> DataFrame:
     """Edges (src, dst, weight) with at least one end in ``batch``; both inputs are (id, item) with ids of their own.
 
-    The pruning plans see both collections at once, so pairs that sizes or rare bits rule out are never evaluated.
+    The pruning plans see both collections at once, so pairs that sizes or rare bits rule out are never evaluated, and a pair of
+    known items is left out where it is found.
     """
-    edges = exact_edges(variant, known.unionByName(batch), proximity_threshold, **options).edges
-    fresh = batch.select(F.col("id").alias("fresh"))
-    on_src = edges.join(fresh, F.col("src") == F.col("fresh"), "left_semi")
-    on_dst = edges.join(fresh, F.col("src") == F.col("fresh"), "left_anti").join(fresh, F.col("dst") == F.col("fresh"), "left_semi")
-    return on_src.unionByName(on_dst)
+    args = {c: options.pop(c, c.removesuffix("_col")) for c in ("id_col", "item_col")}
+    for c in ("n_threads", "progress"):
+        options.pop(c, None)
+    items = lambda df, fresh: _items(df, **args).withColumn("fresh", F.lit(fresh))
+    return edges_among(make_kernel(variant, **options), items(known, False).unionByName(items(batch, True)), proximity_threshold)

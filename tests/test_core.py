@@ -125,6 +125,35 @@ def test_edges_match_brute_force(spark, theta, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_real_kernel_rules_out_no_near_pair():
+    """Products of single precision against all distances, ties and thresholds between pairs included."""
+    r, k = np.random.default_rng(5), TanimotoReal()
+    a = r.normal(size=(60, 16)) * r.choice([1e-6, 1.0, 1e3], 60)[:, None]
+    b = np.concatenate([r.normal(size=(500, 16)), a[:30], a[:30], np.zeros((1, 16)), a[:20] * 1.0001])
+    d = k.block(a, b)
+    for t in (-0.1, 1e-10, 0.4, 0.99, 1.2, float(np.sort(d.ravel())[2000]) + 1e-12):
+        i, j, w = k.near(a, b, t)
+        want = np.zeros_like(d, bool)
+        want[i, j] = True
+        assert (want == (d < t)).all() and np.allclose(w, d[i, j], atol=1e-12)
+    b = np.concatenate([b[:560], a[:20] * 1.0001])
+    d = np.round(k.block(a, b), 9)
+    top, w = k.nearest(a, b, 5)
+    assert (top == np.argsort(d, axis=1, kind="stable")[:, :5]).all() and np.allclose(w, np.sort(d, axis=1)[:, :5], atol=1e-9)
+    assert k.near(np.zeros((2, 3)), np.zeros((2, 3)), 0.5)[2].tolist() == [0.0] * 4
+
+
+def test_blocks_grow_with_the_table(spark):
+    """No more blocks of cheap distances than most_blocks, so that each item is copied that often at most."""
+    from pyspark.sql import functions as F
+
+    from kinsplit.plans import blocks
+
+    placed, spans = blocks.by_size(spark.range(4000).select("id", F.lit(1.0).alias("item")), F.lit(0.0), 20, 8)
+    assert len(spans) <= 8 and placed.count() == 4000
+    assert len(blocks.by_size(spark.range(4000).select("id", F.lit(1.0).alias("item")), F.lit(0.0), 20, 8, 40)[1]) == 100
+
+
 def test_neighbors_over_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     vecs = r.normal(size=(40, 5)).tolist()
@@ -452,3 +481,19 @@ def test_incremental_edges(spark):
     v = items(spark, SEQS)
     got = new_edges(KernelVariant.AlignmentGlobal, v.where("id < 3"), v.where("id >= 3"), 0.5)
     assert sorted((r["src"], r["dst"]) for r in got.collect()) == [(0, 3), (2, 3)]
+
+
+def test_incremental_edges_are_found_in_one_pass(spark, monkeypatch):
+    """Known pairs are left out where they are found; the edges are not computed once for each end."""
+    from kinsplit.streaming.incremental import new_edges
+
+    r = np.random.default_rng(2)
+    monkeypatch.setattr(TanimotoReal, "rows_per_block", 9)
+    vecs = r.normal(size=(50, 3)).tolist()
+    bits = [sorted(set(r.integers(0, 12, 7).tolist())) for _ in range(50)]
+    for kernel, values, kind in ((KernelVariant.TanimotoReal, vecs, "array<double>"), (KernelVariant.TanimotoBit, bits, "array<int>")):
+        v = items(spark, values, kind)
+        got = new_edges(kernel, v.where("id % 3 = 0"), v.where("id % 3 > 0"), 0.6)
+        want = {e for e in proximity.exact_edges(kernel, v, 0.6) if e[0] % 3 or e[1] % 3}
+        assert {tuple(e) for e in got.collect()} == want and got.count() == len(want)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") <= 1
