@@ -389,6 +389,37 @@ def test_edge_files(spark, tmp_path):
             EdgeStore.load(str(tmp_path / name), spark)
 
 
+def test_edge_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """In order over several parts, every byte as it is, with no row on the driver and no task that sorts all edges."""
+    from pyspark.sql import DataFrame
+
+    from kinsplit.sources import edgelist
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows come to one place")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    real = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, n, *c: refused() if n == 1 else real(df, n, *c))
+    monkeypatch.setattr(edgelist, "PART_RECORDS", 300)
+    r = random.Random(4)
+    edges = sorted({(a, b): r.random() for a, b in ((r.randrange(3000), r.randrange(3000)) for _ in range(2500))}.items())
+    s = store(spark, 3000, [(a, b, w) for (a, b), w in edges])
+    for name in ("a.edgestr", "a.edgelist"):
+        s.save(str(tmp_path / name))
+    raw = np.frombuffer((tmp_path / "a.edgestr").read_bytes()[edgelist._HEAD.size :], edgelist._RECORD)
+    assert [(x["src"], x["dst"], x["weight"]) for x in raw] == [(a, b, np.float32(w)) for (a, b), w in edges]
+    lines = (tmp_path / "a.edgelist").read_text().splitlines()
+    assert lines[0] == "# n = 3000" and [tuple(map(float, x.split())) for x in lines[1:]] == [(a, b, w) for (a, b), w in edges]
+    assert EdgeStore.load(str(tmp_path / "a.edgestr"), spark).edges.count() == len(edges)
+
+
+def test_degrees(spark):
+    g = store(spark, 5, [(0, 1, 0.5), (1, 2, 0.5), (2, 2, 0.1), (0, 1, 0.3)]).graph()
+    lists = {r["id"]: len(r["neighbors"]) for r in g.adjacency().collect()}
+    assert {r["id"]: r["degree"] for r in g.degrees().collect()} == lists == {0: 2, 1: 3, 2: 2, 3: 0, 4: 0}
+
+
 def test_sequence_and_molecule_files(spark, tmp_path):
     (tmp_path / "a.fasta").write_text("x\n>seq1 first\nACDE\nFGHI\n\n>seq2\n PQRS \n")
     assert [tuple(r) for r in sequences.read_fasta(spark, str(tmp_path / "a.fasta")).orderBy("id").collect()] == [(0, "seq1 first", "ACDEFGHI"), (1, "seq2", "PQRS")]
