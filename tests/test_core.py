@@ -143,6 +143,34 @@ def test_real_kernel_rules_out_no_near_pair():
     assert k.near(np.zeros((2, 3)), np.zeros((2, 3)), 0.5)[2].tolist() == [0.0] * 4
 
 
+def test_bit_kernel_rules_out_no_near_pair():
+    """Counts by hash against all distances: empty, large, equal and disjoint sets; sets are held as numbers, not objects."""
+    import pyarrow as pa
+
+    r, k = np.random.default_rng(6), TanimotoBit()
+    make = lambda n: [r.choice(900, s, replace=False) * 7919 - 3_000_000 for s in r.choice([0, 1, 5, 40, 300, 800], n)]
+    a, b = make(40), make(70)
+    b += [x[: max(1, len(x) * 3 // 4)] for x in a] + a[:10]
+    d = k.block(k.load(a), k.load(b))
+    x, y = (k.load_column(pa.chunked_array([pa.array([[], *v], pa.list_(pa.int64()))]).slice(1)) for v in (a, b))
+    for t in (0.0, 0.3, 0.5, 0.9, 1.0):
+        i, j, w = k.near(x, y, t)
+        want = np.zeros_like(d, bool)
+        want[i, j] = True
+        assert (want == (d < t)).all() and (w == d[i, j]).all()
+    top, w = k.nearest(x, y, 4)
+    assert (top == np.argsort(d, axis=1, kind="stable")[:, :4]).all() and (w == np.sort(d, axis=1)[:, :4]).all()
+
+
+def test_blocks_of_large_items_hold_fewer(spark):
+    from pyspark.sql import functions as F
+
+    from kinsplit.plans import blocks
+
+    placed, spans = blocks.by_size(spark.range(1000).select("id", F.lit(1.0).alias("item")), F.when(F.col("id") < 900, 1.0).otherwise(500.0), 100, most_size=5000)
+    assert placed.groupBy("block").agg(F.sum(F.when(F.col("id") < 900, 1).otherwise(500)).alias("s")).agg(F.max("s")).first()[0] < 12_000
+
+
 def test_blocks_grow_with_the_table(spark):
     """No more blocks of cheap distances than most_blocks, so that each item is copied that often at most."""
     from pyspark.sql import functions as F
