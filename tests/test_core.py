@@ -385,6 +385,20 @@ def test_index(spark, tmp_path):
     assert empty.search(items(spark, SEQS)).count() == 0 and len(empty.edges()) == 0
 
 
+def test_index_of_several_shards_is_one_index(spark):
+    """Layers follow the number of all items, and a search has one entry, however many shards there are."""
+    from kinsplit.operators.ann import max_layers
+
+    v = items(spark, np.random.default_rng(8).normal(size=(90, 4)).tolist(), "array<double>")
+    state = HNSWState(KernelVariant.TanimotoReal, v, config=HNSWConfig(proximity_threshold=0.5), shard_rows=20).build()
+    index = state.index
+    assert index.shards == 5 and index.shard_entries.count() == 5 and len(index.entry_point) == 1
+    assert index.max_layers == len(index.layers) == max_layers(90, index.config.m_l)
+    assert index.entry_point[0][1] == max(r["layer"] for r in index.shard_entries.collect())
+    assert state.get_layer(0).where("size(neighbors) > 0").count() == 90 and state.get_layer(index.max_layers - 1).count() == 90
+    assert state.search(v, 1).where("query_id = ref_id").count() >= 81
+
+
 def test_index_keeps_dense_groups_across_shards(spark):
     """A group far larger than ef_construction, dealt over shards."""
     r = np.random.default_rng(6)
