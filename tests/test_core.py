@@ -153,7 +153,7 @@ def test_bit_kernel_rules_out_no_near_pair():
     b += [x[: max(1, len(x) * 3 // 4)] for x in a] + a[:10]
     d = k.block(k.load(a), k.load(b))
     x, y = (k.load_column(pa.chunked_array([pa.array([[], *v], pa.list_(pa.int64()))]).slice(1)) for v in (a, b))
-    for t in (0.0, 0.3, 0.5, 0.9, 1.0):
+    for t in (0.0, 0.3, 0.5, 0.9, 1.0, 2.0):
         i, j, w = k.near(x, y, t)
         want = np.zeros_like(d, bool)
         want[i, j] = True
