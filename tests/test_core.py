@@ -182,6 +182,21 @@ def test_blocks_grow_with_the_table(spark):
     assert len(blocks.by_size(spark.range(4000).select("id", F.lit(1.0).alias("item")), F.lit(0.0), 20, 8, 40)[1]) == 100
 
 
+def test_edges_copy_a_row_few_times(spark, monkeypatch):
+    """Of real vectors of alike sizes, each block meets all others, so a row is copied once a block."""
+    from kinsplit.plans import blocks
+
+    made, real = [], blocks.packed
+    monkeypatch.setattr(TanimotoReal, "rows_per_block", 5)
+    monkeypatch.setattr(blocks, "packed", lambda placed, n: made.append(n) or real(placed, n))
+    vecs = np.random.default_rng(4).normal(size=(300, 6)).tolist()
+    got = {(a, b): w for a, b, w in proximity.exact_edges(KernelVariant.TanimotoReal, items(spark, vecs, "array<double>"), 0.6)}
+    x = np.array(vecs)
+    d = TanimotoReal().block(x, x)
+    assert sorted(got) == [(a, b) for a in range(300) for b in range(a + 1, 300) if d[a, b] < 0.6]
+    assert made[0] <= TanimotoReal.edge_blocks + 3 < 300 / 5
+
+
 def test_neighbors_over_blocks(spark, monkeypatch):
     r = np.random.default_rng(0)
     vecs = r.normal(size=(40, 5)).tolist()
