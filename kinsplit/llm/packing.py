@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from kinsplit.plans.storage import materialize
 PART_ROWS = 40_000  # pieces a partition
 FAN_IN = 8  # partitions whose released pieces meet
 RELEASED = 0.2  # most of a partition's bins that it releases
-CACHE = 250_000  # words whose ids a task remembers
+CACHE = 50_000  # words whose ids a task remembers
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -89,9 +90,7 @@ class _Ids:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.path = tokenizer_path
         self.known: dict[str, bytes] = {}
         self.plain = None
         if ranks_path:
@@ -104,6 +103,13 @@ class _Ids:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Held from the first text on that needs it, as most tasks have none."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def of(self, text: str) -> bytes:
         if self.plain is None or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -132,8 +138,8 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, token
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, pieces, starts, lengths, crcs = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                raw = ids.of(text or "") + end
+            for row, text in enumerate(batch.column("text")):  # one by one, as a batch of texts as Python's takes as much again
+                raw = ids.of(text.as_py() or "") + end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for piece, start in enumerate([0, *range(first, n, capacity)]):

@@ -22,6 +22,15 @@ def words(seed, n):
     return " ".join(r.choice(["the", "anthing", "Öhl", "x1", "don't", "re-use", "<|endoftext|>", "\n\n", "日本", "a  b", "\t"]) for _ in range(n))
 
 
+def test_tasks_hold_no_tokenizer_without_need():
+    """Plain texts need the words' ids alone, and a task remembers few enough words to fit beside others."""
+    ids = packing._Ids("/none", PATHS[1])
+    assert ids.of("some plain text") == np.array(packing._Ids(*PATHS).tokenizer.encode("some plain text", add_special_tokens=False).ids, "<u4").tobytes()
+    for k in range(packing.CACHE + 100):
+        ids.known.setdefault(f"w{k}", b"") if len(ids.known) < packing.CACHE else ids.of(f"a w{k}")
+    assert len(ids.known) <= packing.CACHE <= 100_000 and "tokenizer" not in vars(ids)
+
+
 def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
