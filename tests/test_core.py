@@ -429,6 +429,34 @@ def test_index_keeps_dense_groups_across_shards(spark):
         assert state.search(v, k=3).count() == 3 * len(vecs)
 
 
+def test_walks_go_on_side_by_side():
+    """Queries of a graph walk together, a few products a round, and find what brute force does."""
+    from kinsplit.operators.ann import Graph
+
+    class Counted(TanimotoReal):
+        calls = 0
+
+        def pairs(self, *a):
+            Counted.calls += 1
+            return super().pairs(*a)
+
+        def block(self, *a):
+            Counted.calls += 1
+            return super().block(*a)
+
+    r = np.random.default_rng(9)
+    x, q = r.normal(size=(300, 6)), r.normal(size=(200, 6))
+    graph, plain = Graph(list(range(300)), x.tolist(), Counted(), HNSWConfig(proximity_threshold=0.5)).build(), TanimotoReal()
+    d = plain.block(x, q)
+    Counted.calls = 0
+    at, ref, dist = graph.walks(q, None, 64)
+    assert np.allclose(d[ref, at], dist) and len(set(zip(at, ref))) == len(at) >= 0.95 * (d < 0.5).sum() and (dist < 0.5).all()
+    at, ref, dist = graph.walks(q, 3, 64)
+    assert np.allclose(d[ref, at], dist) and np.bincount(at).tolist() == [3] * 200
+    assert sum(set(ref[at == i]) == set(np.argsort(d[:, i])[:3]) for i in range(200)) >= 190
+    assert Counted.calls < 2 * 200
+
+
 def test_edge_files(spark, tmp_path):
     s = store(spark, 6, [(0, 1, 0.5), (2, 3, 0.25)])
     for name in ("e.edgelist", "e.edgestr", "e.parquet"):
