@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from kinsplit.plans.names import column
@@ -25,6 +27,7 @@ PART_ROWS = 40_000  # pieces a partition
 FAN_IN = 8  # partitions whose released pieces meet
 RELEASED = 0.2  # most of a partition's bins that it releases
 CACHE = 50_000  # words whose ids a task remembers
+TEXT_BYTES = 4 << 20  # of texts whose words are looked up together, about
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -79,10 +82,12 @@ def lower_bound_of_counts(hist: np.ndarray, capacity: int) -> int:
 
 _ODD = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>")
 _RUN = re.compile(r"\s ")
+# the same for Arrow, whose \s is of ASCII alone
+_ODD_RE2, _RUN_RE2 = r"[^\x00-\x{24f}]|<\|endoftext\|>", r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}] "
 
 
 class _Ids:
-    """Little-endian ids of a text, the same as the tokenizer's. Words are looked up in a bounded memory.
+    """Little-endian ids of texts, the same as the tokenizer's. Words are looked up in a bounded memory.
 
     A space before a word always starts a token here, so texts whose spaces follow no other white space can be cut
     at them and each word encoded once. Texts with characters whose class may depend on a Unicode version, or with
@@ -102,6 +107,8 @@ class _Ids:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.widths = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each id
+            self.widths[list(ranks.values())] = [len(b) for b in ranks]
 
     @cached_property
     def tokenizer(self):
@@ -129,6 +136,60 @@ class _Ids:
     def _word(self, w: str) -> bytes:
         return np.array(self.plain.encode_ordinary(w), "<u4").tobytes()
 
+    def of_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text in turn (null: none). Texts are taken by some bytes together, and their words once each."""
+        at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield from self._of_some(pc.fill_null(texts.slice(a, b - a), ""))
+
+    def _of_some(self, texts: pa.Array) -> Iterator[bytes]:
+        if self.plain is None:
+            yield from (self.of(x.as_py()) for x in texts)
+            return
+        # texts that can be cut at their spaces
+        cut = pc.invert(pc.or_(pc.match_substring_regex(texts, _ODD_RE2), pc.match_substring_regex(texts, _RUN_RE2)))
+        split = pc.split_pattern(texts.filter(cut), " ")
+        bounds, words = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())]).astype(np.int64), split.flatten()
+        coded, firsts = words.dictionary_encode(), bounds[:-1]
+        ids = self._spaced(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy().astype(np.int64)
+        index[firsts] = len(ids) + np.arange(len(firsts))  # no space stands before these
+        ids += map(self._word, words.take(pa.array(firsts)).to_pylist())
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        ends, data = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][: len(joined) + 1], memoryview(joined.buffers()[2] or b"")
+        spans = zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())
+        for text, met in zip(texts, cut.to_pylist()):
+            if met:
+                start, end = next(spans)
+                yield bytes(data[start:end])
+            else:
+                yield self.of(text.as_py())
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. What is not known is encoded as one text and cut where words end."""
+        out = list(map(self.known.get, words))
+        new = [i for i, b in enumerate(out) if b is None]
+        alone = [i for i in new if not words[i] or words[i][-1].isspace()]  # the next one's space would follow white space
+        for i in alone:
+            out[i] = self._word(" " + words[i])
+        together = [i for i in new if out[i] is None]
+        if together:
+            ids = np.array(self.plain.encode_ordinary(" " + " ".join([words[i] for i in together])), "<u4")
+            ends = np.cumsum([len(words[i].encode()) + 1 for i in together])
+            reached = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(reached, ends)
+            if np.array_equal(reached[cuts], ends):
+                raw, start = ids.tobytes(), 0
+                for i, end in zip(together, (4 * (cuts + 1)).tolist()):
+                    out[i], start = raw[start:end], end
+            else:  # no token should go over the end of a word
+                for i in together:
+                    out[i] = self._word(" " + words[i])
+        for i in new[: max(0, CACHE - len(self.known))]:
+            self.known[words[i]] = out[i]
+        return out
+
 
 def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_path: str, ranks_path: str | None, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every whole text (null: empty)."""
@@ -138,8 +199,8 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, token
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             at, pieces, starts, lengths, crcs = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):  # one by one, as a batch of texts as Python's takes as much again
-                raw = ids.of(text.as_py() or "") + end
+            for row, raw in enumerate(ids.of_all(batch.column("text"))):
+                raw += end
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for piece, start in enumerate([0, *range(first, n, capacity)]):

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinsplit.llm import mixing, packing
@@ -31,6 +32,29 @@ def test_tasks_hold_no_tokenizer_without_need():
     assert len(ids.known) <= packing.CACHE <= 100_000 and "tokenizer" not in vars(ids)
 
 
+def test_words_of_a_batch_are_encoded_once_and_in_few_calls(monkeypatch):
+    """Before, each word that was not remembered took a call of its own, wherever it stood."""
+    words = [f"{a}{b}" for a in ("quo", "zür", "x1-", "d'", "it's") for b in ("rat", "öß", "9", ".", "\nnew")]
+    rare = [" ".join(words[k:] + words[:k]) for k in range(len(words))]
+    odd = [None, "", " ", "a", " a", "a ", "a\n", "\na", "a\n b", "a  b", "a\xa0 b", "日本 語 a", "a <|endoftext|> b", "a \n", "\x1c a", "é\x85 b", "b\t", "c\x1f"]
+    texts = pa.array([*odd, *rare, None, *odd[::-1], *[chr(c) + "a" + chr(c) + " b" + chr(c) for c in range(0x260)]])
+    ids, t = packing._Ids(*PATHS), packing._Ids(*PATHS).tokenizer
+    wanted = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts.to_pylist()]
+    for size in (1, 300, packing.TEXT_BYTES):
+        for kind in (pa.string(), pa.large_string()):
+            monkeypatch.setattr(packing, "TEXT_BYTES", size)
+            monkeypatch.setattr(packing, "CACHE", 3)
+            assert list(packing._Ids(*PATHS).of_all(texts.cast(kind))) == wanted
+            assert list(packing._Ids(*PATHS).of_all(texts.cast(kind)[5:])) == wanted[5:]
+            assert list(packing._Ids(*PATHS).of_all(pa.array(odd[11:12] * 2, kind))) == [wanted[11]] * 2
+    assert list(packing._Ids(*PATHS).of_all(pa.array([], pa.string()))) == []
+    assert list(packing._Ids(PATHS[0], None).of_all(texts[:20])) == wanted[:20]
+    calls, of = [], ids.plain.encode_ordinary
+    monkeypatch.setattr(ids.plain, "encode_ordinary", lambda x: calls.append(x) or of(x))
+    assert list(ids.of_all(pa.array(rare))) == wanted[len(odd) : len(odd) + len(rare)]
+    assert len(calls) <= len(rare) + 1 and len(ids.known) <= 3  # a call for each first word, and one for all the others
+
+
 def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
