@@ -277,6 +277,44 @@ def test_star_forest_of_a_long_path(spark):
     assert {(r["node"], r["root"]) for r in star_forest(e).collect()} == {(i, 0) for i in range(101)}
 
 
+def test_dense_edges_meet_as_forests(spark, monkeypatch):
+    """Before, the star rounds wrote and shuffled every edge, 79,800 here, the square of a component."""
+    from kinsplit.operators import components
+
+    r = random.Random(5)
+    names = [r.randrange(-(2**62), 2**62) for _ in range(400)]
+    e = spark.createDataFrame([(a, b, 0.5) for i, a in enumerate(names) for b in names[:i]] + [(None, 1, 0.5), (9, 9, 0.5)], "src long, dst long, weight double").repartition(3)
+    seen, signature = [], components._signature
+    monkeypatch.setattr(components, "_signature", lambda x: seen.append(signature(x)) or seen[-1])
+    v = spark.createDataFrame([(x,) for x in [*names, 2**62 + 1]], "id long")
+    got = {x["id"]: x["cluster"] for x in clusters.find_components(EdgeStore(v, e).graph()).collect()}
+    assert got == {x: int(x == 2**62 + 1) for x in [*names, 2**62 + 1]}
+    assert seen[0][0] <= 3 * 399
+
+
+def test_local_forests_keep_components(spark):
+    from kinsplit.operators.components import _stars, local_forests
+
+    r = random.Random(7)
+    def stars(edges):
+        a, b = (np.array(x, np.int64) for x in zip(*edges))
+        return set(zip(*(x.tolist() for x in _stars(a, b))))
+
+    graphs = [[(i, i + 1) for i in range(300)], [(i, 0) for i in range(300)], [(r.randrange(400), r.randrange(400)) for _ in range(350)], [(2 * i, 2 * i + 1) for i in range(200)]]
+    edges = [(a + 1000 * k, b + 1000 * k) for k, g in enumerate(graphs) for a, b in g]
+    r.shuffle(edges)
+    whole = {(x["node"], x["root"]) for x in star_forest(spark.createDataFrame(edges, "u long, v long"), "u", "v").collect()}
+    assert stars(edges) == {(n, m) for n, m in whole if n != m}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for at_once in (1, 120, 100_000):
+            made = [(x["src"], x["dst"]) for x in local_forests(spark.createDataFrame(edges, "u long, v long").repartition(2), "u", "v", at_once).collect()]
+            assert len(made) <= len(edges) and stars(made) == stars(edges)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert local_forests(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_signature_of_many_edges(spark):
     """A sum of their hashes would not fit into a long."""
     from pyspark.sql import functions as F
